@@ -16,12 +16,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle_queries  # noqa: E402
 from parley.functions import text as tx  # noqa: E402
-from parley.operators import controversy, filters, keywords, sampling, stats  # noqa: E402
+from parley.operators import clusters, controversy, filters, keywords, neardup, sampling, stats, trends  # noqa: E402
 from parley.plans.report import build_report  # noqa: E402
 from parley.plans.storage import scratch_path  # noqa: E402
-from parley.plans.tables import comments  # noqa: E402
+from parley.plans.tables import comments, stream_table, table  # noqa: E402
 from parley.sources.comments import load_comments, normalize_columns, select_comments, typed  # noqa: E402
 from parley.sources.sinks import write_table  # noqa: E402
+from parley.streaming.windows import closed_window_counts, with_open_windows  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,11 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def _dated(df: DataFrame) -> DataFrame:
+    """Window starts as text, which reads the same in every engine."""
+    return df.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
 def _with_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = comments(spark, sf_dir, "id", "body")
     rows = tx.staged(rows, "clean_text", tx.clean_text(F.col("body")))
@@ -99,6 +105,59 @@ def differential(spark: SparkSession, sf_dir: str, sample_size: int = controvers
     return _rounded(controversy.differential_keywords(rows, sample_size=sample_size), "score")
 
 
+def hot_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(trends.hot_ngrams(_preprocessed(spark, sf_dir)), "weight")
+
+
+def burst_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array_distinct(tx.keyword_words(F.col("body")))
+    rows = comments(spark, sf_dir, "timestamp", words=words).select("timestamp", F.explode("words").alias("word"))
+    found = trends.bursts(trends.window_counts(rows, F.col("word")))
+    return _rounded(_dated(found).withColumnRenamed("key", "word"), "baseline", "ratio")
+
+
+def _events(raw: DataFrame) -> DataFrame:
+    return raw.select(F.col("ts").cast("timestamp").alias("timestamp"), "event_type")
+
+
+def burst_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types by the day, at a threshold that ordinary days reach as well."""
+    counts = trends.window_counts(_events(table(spark, sf_dir, "events")), F.col("event_type"))
+    found = trends.bursts(counts, threshold=1.0)
+    return _rounded(_dated(found).withColumnRenamed("key", "event_type"), "baseline", "ratio")
+
+
+def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw, stream = table(spark, sf_dir, "events"), stream_table(spark, sf_dir, "events")
+    path = scratch_path(spark, "stream-windows")
+    closed_window_counts(_events(stream), f"{path}/counts", f"{path}/state", F.col("event_type"))
+    closed = spark.read.schema("window_start timestamp, key string, n bigint").parquet(f"{path}/counts")
+    counts = with_open_windows(closed, _events(raw), F.col("event_type"))
+    return _dated(counts).withColumnRenamed("key", "event_type")
+
+
+def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(neardup.near_dup_pairs(comments(spark, sf_dir, "id", "body")), "jaccard")
+
+
+def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = neardup.fold_duplicates(comments(spark, sf_dir, "id", "body", "subreddit"))
+    return kept.select("id", "subreddit", "group_size")
+
+
+def _folded_copies(strategy: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = comments(spark, sf_dir, "id", "body", "score")
+        kept = neardup.fold_groups(rows, neardup.exact_copy_groups(rows), strategy)
+        return kept.select("id", "score", "group_size")
+
+    return query
+
+
+def opinion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.opinion_clusters(_preprocessed(spark, sf_dir))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Keywords of each community in the smallest test set, as the report shows them."""
     return build_report(comments(spark, SMOKE_DIR))["tfidf_keywords"]
@@ -139,7 +198,7 @@ def queries() -> dict[str, Query]:
         "id", F.array_join(tx.ngram_range(F.col("tokens"), 1, 3), "|").alias("grams")
     )
     q["shingles"] = lambda s, d: tx.staged(comments(s, d, "id", "body"), "clean_text", tx.clean_text(F.col("body"))).select(
-        "id", F.explode(tx.split_shingles(F.col("clean_text"))).alias("shingle")
+        "id", F.array_join(F.array_sort(tx.split_shingles(F.col("clean_text"))), "|").alias("shingles")
     )
     q["keyword_words"] = lambda s, d: _analysis(s, d, "id", "subreddit", "body").select(
         "id", F.array_join(tx.keyword_words(F.col("body")), " ").alias("words")
@@ -183,6 +242,19 @@ def queries() -> dict[str, Query]:
     q["keyword_comparison"] = lambda s, d: controversy.keyword_comparison(differential(s, d))
     q["top_keyword_groups"] = lambda s, d: keywords.top_keyword_groups(tfidf(s, d))
     q["unique_vocabulary"] = lambda s, d: keywords.unique_vocabulary(_analysis(s, d, "body", "subreddit"))
+    # Trends
+    q["hot_ngrams"] = hot_ngrams
+    q["burst_words"] = burst_words
+    q["burst_events"] = burst_events
+    q["stream_window_counts"] = stream_window_counts
+    # Near duplicates and clusters
+    q["near_dup_candidates"] = lambda s, d: neardup.near_dup_candidates(comments(s, d, "id", "body"))
+    q["near_dup_pairs"] = near_dup_pairs
+    q["folded_comments"] = folded
+    q["folded_copies_first"] = _folded_copies("first")
+    q["folded_copies_longest"] = _folded_copies("longest")
+    q["folded_copies_highest_score"] = _folded_copies("highest_score")
+    q["opinion_clusters"] = opinion_clusters
     return q
 
 

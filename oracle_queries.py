@@ -81,11 +81,11 @@ def ngrams(n: int) -> str:
 ANALYSIS = f"""{COMMENTS},
 analysis AS (SELECT * FROM comments WHERE body IS NOT NULL AND subreddit IS NOT NULL AND length(body) >= 10)"""
 
-WORDS = rf"""{ANALYSIS},
-worded AS MATERIALIZED (
-  SELECT *, list_filter(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}_]+'),
-    lambda w: regexp_full_match(w, '[a-z]{{3,15}}') AND w NOT IN ({_quoted(KEYWORD_STOP_WORDS)})) AS words
-  FROM analysis)"""
+KEYWORD_WORDS = rf"""list_filter(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}_]+'),
+    lambda w: regexp_full_match(w, '[a-z]{{3,15}}') AND w NOT IN ({_quoted(KEYWORD_STOP_WORDS)}))"""
+
+WORDS = f"""{ANALYSIS},
+worded AS MATERIALIZED (SELECT *, {KEYWORD_WORDS} AS words FROM analysis)"""
 
 GROUP_WORDS = f"""{WORDS},
 group_words AS MATERIALIZED (
@@ -144,6 +144,22 @@ differential AS (
   FROM candidates WHERE own >= 10 AND own_total > 0 AND other_total > 0)"""
 
 
+DAY = "strftime(window_start, '%Y-%m-%d %H:%M:%S')"
+
+
+def bursts(relation: str, key: str, threshold: float) -> str:
+    """Windows of a day against the mean of all days before, absent days counting as zero."""
+    return f"""days AS (SELECT time_bucket(INTERVAL '24 hours', ts) AS window_start, {key}, count(*) AS n
+               FROM {relation} GROUP BY ALL),
+      first_day AS (SELECT min(window_start) AS first_start FROM days),
+      sums AS (
+        SELECT a.window_start, a.{key}, a.n, CAST(sum(b.n) AS DOUBLE) AS before
+        FROM days a JOIN days b ON a.{key} = b.{key} AND b.window_start < a.window_start
+        GROUP BY a.window_start, a.{key}, a.n),
+      history AS (SELECT *, before / date_diff('day', first_start, window_start) AS baseline FROM sums, first_day),
+      bursts AS (SELECT * FROM history WHERE n / baseline >= {threshold})"""
+
+
 RATES = f"""{ANALYSIS},
 rates AS (
   SELECT subreddit, CAST(coalesce(sum(controversiality), 0) AS BIGINT) AS controversial,
@@ -196,10 +212,9 @@ def oracle_sql() -> dict[str, str]:
         "AS grams FROM tokenized"
     )
     q["shingles"] = f"""WITH {COMMENTS},
-      cleaned AS MATERIALIZED (SELECT id, {clean("body")} AS c FROM comments),
-      pieces AS (SELECT id, substr(c, i, 5) AS shingle FROM
-        (SELECT id, c, unnest(range(1, greatest(length(c) - 3, 2))) AS i FROM cleaned WHERE c <> ''))
-      SELECT DISTINCT id, shingle FROM pieces"""
+      cleaned AS MATERIALIZED (SELECT id, {clean("body")} AS c FROM comments)
+      SELECT id, CASE WHEN c = '' THEN '' ELSE array_to_string(list_sort(list_distinct(list_transform(
+        range(1, greatest(length(c) - 3, 2)), lambda i: substr(c, i, 5)))), '|') END AS shingles FROM cleaned"""
     q["keyword_words"] = f"WITH {WORDS} SELECT id, array_to_string(words, ' ') AS words FROM worded"
     q["preprocessed"] = (
         f"WITH {PREPROCESSED} SELECT id, subreddit, clean_text, {_TOKEN_TEXT} AS tokens, token_count FROM preprocessed"
@@ -277,4 +292,28 @@ def oracle_sql() -> dict[str, str]:
       ranked AS (SELECT *, row_number() OVER (PARTITION BY subreddit ORDER BY score DESC, word) AS rn FROM scored)
       SELECT subreddit, CAST(rn AS INTEGER) AS rank, word, round(score, 6) AS specificity_score
       FROM ranked WHERE rn <= 20"""
+    # Trends
+    q["hot_ngrams"] = f"""WITH {PREPROCESSED},
+      grams AS (SELECT id, unnest(list_concat({ngrams(1)}, list_concat({ngrams(2)}, {ngrams(3)}))) AS ngram
+                FROM preprocessed),
+      counts AS (SELECT ngram, count(*) AS total_count, count(DISTINCT id) AS doc_count FROM grams GROUP BY ngram),
+      total AS (SELECT count(*) AS n FROM preprocessed)
+      SELECT ngram, total_count, doc_count, round(total_count * ln(CAST(n AS DOUBLE) / doc_count), 6) AS weight
+      FROM counts, total WHERE doc_count >= 5 AND doc_count <= 0.5 * n
+      ORDER BY total_count * ln(CAST(n AS DOUBLE) / doc_count) DESC, ngram LIMIT 10"""
+    q["burst_words"] = f"""WITH {COMMENTS},
+      mentions AS (SELECT timestamp AS ts, unnest(list_distinct({KEYWORD_WORDS})) AS word FROM comments),
+      {bursts("mentions", "word", 2.0)}
+      SELECT {DAY} AS window_start, word, n, round(baseline, 6) AS baseline, round(n / baseline, 6) AS ratio FROM bursts"""
+    q["burst_events"] = f"""WITH {bursts("events", "event_type", 1.0)}
+      SELECT {DAY} AS window_start, event_type, n, round(baseline, 6) AS baseline, round(n / baseline, 6) AS ratio FROM bursts"""
+    q["stream_window_counts"] = f"""WITH days AS (SELECT time_bucket(INTERVAL '24 hours', ts) AS window_start,
+      event_type, count(*) AS n FROM events GROUP BY ALL) SELECT {DAY} AS window_start, event_type, n FROM days"""
+    # Copies
+    for strategy, order in (("first", "id"), ("longest", "length(body) DESC, id"), ("highest_score", "score DESC, id")):
+        q[f"folded_copies_{strategy}"] = f"""WITH {COMMENTS},
+          cleaned AS MATERIALIZED (SELECT *, {clean("body")} AS c FROM comments),
+          grouped AS (SELECT *, CASE WHEN c = '' THEN CAST(id AS VARCHAR) ELSE '#' || c END AS g FROM cleaned)
+          SELECT id, score, count(*) OVER (PARTITION BY g) AS group_size FROM grouped
+          QUALIFY row_number() OVER (PARTITION BY g ORDER BY {order}) = 1"""
     return q
