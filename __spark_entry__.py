@@ -111,8 +111,8 @@ def hot_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def burst_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(tx.keyword_words(F.col("body")))
-    rows = comments(spark, sf_dir, "timestamp", words=words).select("timestamp", F.explode("words").alias("word"))
-    found = trends.bursts(trends.window_counts(rows, F.col("word")))
+    rows = comments(spark, sf_dir, "timestamp", words=words)
+    found = trends.bursts(trends.window_counts(trends.spread_words(rows), F.col("word")))
     return _rounded(_dated(found).withColumnRenamed("key", "word"), "baseline", "ratio")
 
 

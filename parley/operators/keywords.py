@@ -1,9 +1,12 @@
 """Keyword ranking per community.
 
-Comments are read once. Words are counted by ``(subreddit, word)`` with a map-side combine, so a
-community or a word with a third of all rows is spread like any other; totals, group frequencies
-and the number of comments all derive from that count table. Its three readers keep the same
-aggregate, so Spark shuffles it once and reuses the exchange.
+Comments are read and split once. Words are counted by ``(subreddit, word)`` with a map-side combine,
+so a community or a word with a third of all rows is spread like any other; totals, community
+frequencies and the number of comments all derive from that count table.
+
+The optimizer would undo this: a filter on ``word``, or a null check it infers for a join key, moves
+below the aggregate, and the readers of the count table no longer share one shuffle. So the keys are
+never null, and what a reader leaves out is decided on the counts (``_own``), not on the keys.
 """
 
 from __future__ import annotations
@@ -14,53 +17,58 @@ from pyspark.sql import functions as F
 from parley.functions.text import keyword_words
 
 MIN_WORD_COUNT = 5  # fixed value: words below it are counted but not ranked
+COMMENT = ""  # the "word" every comment has once; no real word is empty
 
 
-def _spread_words(df: DataFrame, words: Column, group_column: str) -> DataFrame:
-    """One row per word, plus one null word per comment so that comments are counted as well.
+def _counted(df: DataFrame, words: Column, group_column: str) -> DataFrame:
+    """``(subreddit, word, doc_count)`` with one extra word per comment, so that comments are counted too.
 
-    A comment without a group counts as a comment but has no words to give.
+    A comment without a community counts as a comment but has no words to give.
     """
-    marker = F.array(F.lit(None).cast("string"))
     own_words = F.when(F.col(group_column).isNotNull(), words)
     no_words = F.array().cast("array<string>")
-    return df.select(
-        F.col(group_column).alias("subreddit"),
-        F.explode(F.concat(marker, F.coalesce(own_words, no_words))).alias("word"),
-    )
+    spread = df.select(
+        F.coalesce(F.col(group_column), F.lit("")).alias("subreddit"),
+        F.explode(F.concat(F.array(F.lit(COMMENT)), F.coalesce(own_words, no_words))).alias("_word"),
+    ).select("subreddit", F.coalesce("_word", F.lit(COMMENT)).alias("word"))
+    return spread.groupBy("subreddit", "word").agg(F.count("*").alias("doc_count"))
 
 
-def _counted(df: DataFrame, words: Column, group_column: str) -> DataFrame:
-    return _spread_words(df, words, group_column).groupBy("subreddit", "word").agg(F.count("*").alias("doc_count"))
+def _own() -> Column:
+    """The count of a real word; zero for the comment marker."""
+    return F.when(F.col("word") == COMMENT, 0).otherwise(F.col("doc_count"))
+
+
+def _comments(counts: DataFrame) -> Column:
+    marked = F.when(F.col("word") == COMMENT, F.col("doc_count"))
+    return counts.agg(F.coalesce(F.sum(marked), F.lit(0)).cast("double")).scalar()
 
 
-def _only_words(counts: DataFrame) -> DataFrame:
-    return counts.filter(F.col("word").isNotNull())
+def _totals(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("subreddit").agg(F.sum(_own()).alias("total"))
 
 
-def _totals(word_counts: DataFrame) -> DataFrame:
-    return word_counts.groupBy("subreddit").agg(F.sum("doc_count").alias("total"))
+def _group_freq(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("word").agg(F.count_if(_own() > 0).alias("group_count"))
 
 
-def _group_freq(word_counts: DataFrame) -> DataFrame:
-    # Reading doc_count, though it is always positive, keeps the count table's exchange shared.
-    return word_counts.groupBy("word").agg(F.count_if(F.col("doc_count") > 0).alias("group_count"))
+def _distinct_words(text_column: str) -> Column:
+    return F.array_distinct(keyword_words(F.col(text_column)))
 
 
 def group_word_df(df: DataFrame, text_column: str = "body", group_column: str = "subreddit") -> DataFrame:
     """Number of comments of each community that contain the word."""
-    distinct_words = F.array_distinct(keyword_words(F.col(text_column)))
-    return _only_words(_counted(df, distinct_words, group_column))
+    return _counted(df, _distinct_words(text_column), group_column).filter(_own() > 0)
 
 
 def group_word_total(df: DataFrame, text_column: str = "body", group_column: str = "subreddit") -> DataFrame:
     """Sum of the word counts of each community, rare words included."""
-    return _totals(group_word_df(df, text_column, group_column))
+    return _totals(_counted(df, _distinct_words(text_column), group_column)).filter(F.col("total") > 0)
 
 
 def word_group_freq(df: DataFrame, text_column: str = "body", group_column: str = "subreddit") -> DataFrame:
     """Number of communities that use the word."""
-    return _group_freq(group_word_df(df, text_column, group_column))
+    return _group_freq(_counted(df, _distinct_words(text_column), group_column)).filter(F.col("group_count") > 0)
 
 
 def _ranked(scored: DataFrame, score: str, word: str, top_n: int) -> DataFrame:
@@ -76,17 +84,15 @@ def compute_tfidf(
 
     Every comment counts in the numerator of the logarithm, the denominator counts communities.
     """
-    distinct_words = F.array_distinct(keyword_words(F.col(text_column)))
-    counts = _counted(df, distinct_words, group_column)
-    words = _only_words(counts)
-    comments = counts.filter(F.col("word").isNull()).agg(F.sum("doc_count").cast("double").alias("n")).scalar()
+    counts = _counted(df, _distinct_words(text_column), group_column)
     share = F.col("doc_count").cast("double") / F.col("total")
+    rarity = F.ln(_comments(counts) / F.col("group_count"))
     scored = (
         # Rare words are needed in the totals only, so the joins see the frequent ones alone.
-        words.filter(F.col("doc_count") >= MIN_WORD_COUNT)
-        .join(_totals(words), "subreddit")
-        .join(_group_freq(words), "word")
-        .select("subreddit", F.col("word").alias("keyword"), (share * F.ln(comments / F.col("group_count"))).alias("_score"))
+        counts.filter(_own() >= MIN_WORD_COUNT)
+        .join(_totals(counts), "subreddit")
+        .join(_group_freq(counts), "word")
+        .select("subreddit", F.col("word").alias("keyword"), (share * rarity).alias("_score"))
     )
     return _ranked(scored, "_score", "keyword", top_n).select(
         "subreddit", "rank", "keyword", F.round("_score", 6).alias("tfidf_score")
@@ -101,14 +107,14 @@ def unique_vocabulary(
     Ratio of the word's share in the community to its add-one smoothed share in the rest. Empty
     for a community that is alone.
     """
-    words = _only_words(_counted(df, keyword_words(F.col(text_column)), group_column))
-    everywhere = words.groupBy("word").agg(F.sum("doc_count").alias("_word_total"))
-    all_words = words.agg(F.sum("doc_count").alias("n")).scalar()
+    counts = _counted(df, keyword_words(F.col(text_column)), group_column)
+    everywhere = counts.groupBy("word").agg(F.sum(_own()).alias("_word_total"))
+    all_words = counts.agg(F.sum(_own())).scalar()
     elsewhere = (F.col("_word_total") - F.col("doc_count") + 1).cast("double") / (all_words - F.col("total") + 1)
     share = F.col("doc_count").cast("double") / F.col("total")
     scored = (
-        words.filter(F.col("doc_count") >= MIN_WORD_COUNT)
-        .join(_totals(words), "subreddit")
+        counts.filter(_own() >= MIN_WORD_COUNT)
+        .join(_totals(counts), "subreddit")
         .filter(all_words > F.col("total"))
         .join(everywhere, "word")
         .select("subreddit", "word", (share / elsewhere).alias("_score"))

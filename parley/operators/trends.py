@@ -22,7 +22,7 @@ def hot_ngrams(
 
     Takes ``tokens`` as left by the preprocessing. One pass gives occurrences, document counts and
     the number of comments: the n-grams of a comment are sorted, so the first of its kind is the one
-    that differs from its predecessor, and one null n-gram stands for the comment itself.
+    that differs from its predecessor, and one empty n-gram stands for the comment itself.
     """
     grams = staged(preprocessed.select("tokens"), "_grams", F.sort_array(ngram_range(F.col("tokens"), low, high)))
     flagged = F.transform(
@@ -31,17 +31,20 @@ def hot_ngrams(
             g.alias("ngram"), F.coalesce(F.get(F.col("_grams"), i - 1) != g, F.lit(True)).alias("first")
         ),
     )
-    marker = F.array(F.struct(F.lit(None).cast("string").alias("ngram"), F.lit(True).alias("first")))
+    marker = F.array(F.struct(F.lit("").alias("ngram"), F.lit(True).alias("first")))
     counts = (
         grams.select(F.inline(F.concat(marker, flagged)))
         .groupBy("ngram")
         .agg(F.count("*").alias("total_count"), F.count_if("first").alias("doc_count"))
     )
-    comments = counts.filter(F.col("ngram").isNull()).agg(F.sum("doc_count").cast("double")).scalar()
+    # Both readers of `counts` read all its columns and decide on the counts, not on the key, so that
+    # they share its shuffle: see the note in `keywords`. The marker's two counts are equal.
+    marked = F.when(F.col("ngram") == "", F.least("doc_count", "total_count"))
+    comments = counts.agg(F.sum(marked).cast("double")).scalar()
     weight = F.ln(comments / F.col("doc_count")) if use_tfidf else F.lit(1.0)
+    own = F.when(F.col("ngram") == "", 0).otherwise(F.col("doc_count"))
     return (
-        counts.filter(F.col("ngram").isNotNull())
-        .filter((F.col("doc_count") >= min_doc_freq) & (F.col("doc_count") <= max_doc_freq_ratio * comments))
+        counts.filter((own >= min_doc_freq) & (own <= max_doc_freq_ratio * comments))
         .select("ngram", "total_count", "doc_count", (F.col("total_count") * weight).alias("weight"))
         .orderBy(F.desc("weight"), "ngram")
         .limit(top_k)
@@ -72,13 +75,17 @@ def bursts(counts: DataFrame, *, hours: int = 24, threshold: float = 2.0) -> Dat
     )
 
 
-def word_rows(df: DataFrame, text_column: str = "body", time_column: str = "timestamp") -> DataFrame:
-    """``(timestamp, word)``: one row per comment and keyword word in it."""
-    words = F.array_distinct(keyword_words(F.col(text_column)))
-    return df.select(F.col(time_column).alias("timestamp"), F.explode(words).alias("word"))
+def spread_words(df: DataFrame, words: str = "words", time_column: str = "timestamp") -> DataFrame:
+    """``(timestamp, word)`` from a column of word lists.
+
+    The outer explode keeps the optimizer from testing the list first, which would build it twice.
+    """
+    rows = df.select(F.col(time_column).alias("timestamp"), F.explode_outer(words).alias("word"))
+    return rows.filter(F.col("word").isNotNull())
 
 
 def burst_words(df: DataFrame, text_column: str = "body", *, hours: int = 24, threshold: float = 2.0) -> DataFrame:
     """Words that suddenly appear in more comments than usual."""
-    counts = window_counts(word_rows(df, text_column), F.col("word"), hours=hours)
+    words = df.select("timestamp", F.array_distinct(keyword_words(F.col(text_column))).alias("words"))
+    counts = window_counts(spread_words(words), F.col("word"), hours=hours)
     return bursts(counts, hours=hours, threshold=threshold).withColumnRenamed("key", "word")
