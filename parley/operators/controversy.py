@@ -118,10 +118,17 @@ def rank_differential(counts: DataFrame, top_n: int = TOP_WORDS) -> DataFrame:
 
 
 def differential_keywords(
-    df: DataFrame, text_column: str = "body", sample_size: int = SAMPLE_SIZE, top_n: int = TOP_WORDS
+    df: DataFrame,
+    text_column: str = "body",
+    sample_size: int = SAMPLE_SIZE,
+    top_n: int = TOP_WORDS,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
-    """Telling words of both sides, from up to ``sample_size`` comments of each."""
-    sample = stratified_sample(df, sample_size)
+    """Telling words of both sides, from up to ``sample_size`` comments of each.
+
+    ``keys`` may be a narrow table of the same comments, see ``stratified_sample``.
+    """
+    sample = stratified_sample(df, sample_size, keys=keys)
     return rank_differential(word_counts_by_side(sample, text_column), top_n)
 
 

@@ -38,12 +38,12 @@ def valid_text(df: DataFrame, options: CleanOptions = CleanOptions(), text: str
 
 def analysis_rows(df: DataFrame, text: str = "body", min_length: int = 10) -> DataFrame:
     """Rows the report works on: text and subreddit present, text long enough."""
-    return df.filter(is_analysis_row(text, min_length))
+    return df.filter(F.col("subreddit").isNotNull() & (F.length(text) >= min_length))
 
 
 def is_analysis_row(text: str = "body", min_length: int = 10) -> Column:
-    long_enough = F.length(text) >= min_length
-    return F.coalesce(F.col("subreddit").isNotNull() & long_enough, F.lit(False))
+    """The same as a flag that is never null."""
+    return F.coalesce(F.col("subreddit").isNotNull() & (F.length(text) >= min_length), F.lit(False))
 
 
 def is_controversial() -> Column:

@@ -33,13 +33,10 @@ def long_digits(key: Column) -> list[Column]:
     ]
 
 
-def smallest_per_stratum(
-    df: DataFrame, n: int, key: Column, digits: list[Column], stratum: Column, id_column: str = "id"
+def _threshold(
+    df: DataFrame, n: int, key: Column, digits: list[Column], stratum: Column, id_column: str
 ) -> DataFrame:
-    """The ``n`` rows of each stratum with the smallest ``(key, id)``; all rows of a small one.
-
-    The digits, compared in order, must sort like the key. Ids must be unique.
-    """
+    """``(_stratum, _last_key, _last_id)`` of the n-th row of every stratum that has one."""
     names = [f"_digit{i}" for i in range(len(digits))]
     narrow = df.select(
         stratum.alias("_stratum"),
@@ -59,18 +56,49 @@ def smallest_per_stratum(
             .filter((F.col("_reached") >= F.col("_wanted")) & (F.col("_reached") - F.col("_n") < F.col("_wanted")))
             .select(*found, (F.col("_wanted") - F.col("_reached") + F.col("_n")).alias("_wanted"))
         )
+        # One row per stratum.
         remaining, wanted = narrow.join(F.broadcast(last_bucket), found), F.col("_wanted")
     by_key = Window.partitionBy("_stratum").orderBy("_key", "_id")
-    threshold = (
+    return (
         remaining.withColumn("_rank", F.row_number().over(by_key))
         .filter(F.col("_rank") == F.col("_wanted"))
         .select("_stratum", F.col("_key").alias("_last_key"), F.col("_id").alias("_last_id"))
     )
-    up_to_last = (key < F.col("_last_key")) | ((key == F.col("_last_key")) & (F.col(id_column) <= F.col("_last_id")))
+
+
+def _up_to(last_key: Column, last_id: Column, key: Column, id_column: str) -> Column:
+    """Rows up to the threshold; all of them where there is none."""
+    return last_id.isNull() | (key < last_key) | ((key == last_key) & (F.col(id_column) <= last_id))
+
+
+def smallest(df: DataFrame, n: int, key: Column, digits: list[Column], id_column: str = "id") -> DataFrame:
+    """The ``n`` rows with the smallest ``(key, id)``.
+
+    The digits, compared in order, must sort like the key. Ids must be unique.
+    """
+    last = _threshold(df, n, key, digits, F.lit(0), id_column)
+    last_key, last_id = last.select("_last_key").scalar(), last.select("_last_id").scalar()
+    return df.filter(_up_to(last_key, last_id, key, id_column))
+
+
+def smallest_per_stratum(
+    df: DataFrame,
+    n: int,
+    key: Column,
+    digits: list[Column],
+    stratum: Column,
+    id_column: str = "id",
+    keys: DataFrame | None = None,
+) -> DataFrame:
+    """The same for every stratum; ``stratum`` should take a handful of values.
+
+    ``keys`` may be a narrow table of the same rows to find the thresholds from.
+    """
+    last = _threshold(df if keys is None else keys, n, key, digits, stratum, id_column)
     return (
         df.withColumn("_stratum", stratum)
-        .join(F.broadcast(threshold), "_stratum", "left")
-        .filter(F.col("_last_id").isNull() | up_to_last)
+        .join(F.broadcast(last), "_stratum", "left")
+        .filter(_up_to(F.col("_last_key"), F.col("_last_id"), key, id_column))
         .drop("_stratum", "_last_key", "_last_id")
     )
 
@@ -78,15 +106,20 @@ def smallest_per_stratum(
 def sample_n(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` random comments (all of them if there are fewer)."""
     key = hash_key(seed)
-    return smallest_per_stratum(df, n, key, hash_digits(key), F.lit(0))
+    return smallest(df, n, key, hash_digits(key))
 
 
-def stratified_sample(df: DataFrame, n: int = 50_000, seed: int = 42) -> DataFrame:
-    """Up to ``n`` controversial and up to ``n`` other comments."""
+def stratified_sample(
+    df: DataFrame, n: int = 50_000, seed: int = 42, keys: DataFrame | None = None
+) -> DataFrame:
+    """Up to ``n`` controversial and up to ``n`` other comments.
+
+    ``keys`` may be a table of the same comments with ``id`` and ``controversiality`` only.
+    """
     key = hash_key(seed)
-    return smallest_per_stratum(df, n, key, hash_digits(key), is_controversial())
+    return smallest_per_stratum(df, n, key, hash_digits(key), is_controversial(), keys=keys)
 
 
 def first_n(df: DataFrame, n: int) -> DataFrame:
     """The ``n`` comments with the lowest ids."""
-    return smallest_per_stratum(df, n, F.col("id"), long_digits(F.col("id")), F.lit(0))
+    return smallest(df, n, F.col("id"), long_digits(F.col("id")))

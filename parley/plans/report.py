@@ -16,24 +16,48 @@ from parley.operators.controversy import (
 )
 from parley.operators.filters import analysis_rows
 from parley.operators.keywords import compute_tfidf
+from parley.plans.storage import written
 from parley.sources.comments import require_columns, with_body
 from parley.sources.sinks import write_table
 
 
-def analyze(comments: DataFrame, text_column: str = "body", sample_size: int = SAMPLE_SIZE) -> dict[str, DataFrame]:
+def _figures(rows: DataFrame, text_column: str) -> DataFrame:
+    """What the report needs besides the words: a few numbers per comment."""
+    return with_comment_length(rows, text_column).select(
+        "id", "subreddit", "controversiality", "score", "comment_length"
+    )
+
+
+def analyze(
+    comments: DataFrame,
+    text_column: str = "body",
+    sample_size: int = SAMPLE_SIZE,
+    figures: DataFrame | None = None,
+) -> dict[str, DataFrame]:
     """Controversy tables: one-row statistics, rates per community, telling words of both sides."""
-    rates = controversy_rate_by_subreddit(comments).select("subreddit", "controversy_rate")
+    figures = _figures(comments, text_column) if figures is None else figures
+    rates = controversy_rate_by_subreddit(figures).select("subreddit", "controversy_rate")
     return {
-        "controversy_stats": controversy_stats(with_comment_length(comments, text_column), text_column),
+        "controversy_stats": controversy_stats(figures),
         "subreddit_controversy_rates": rates.orderBy(F.desc_nulls_last("controversy_rate"), "subreddit"),
-        "differential_keywords": differential_keywords(comments, text_column, sample_size),
+        "differential_keywords": differential_keywords(comments, text_column, sample_size, keys=figures),
     }
 
 
-def build_report(comments: DataFrame, top_n: int = 20, sample_size: int = SAMPLE_SIZE) -> dict[str, DataFrame]:
-    """The four tables of the report, all lazy."""
+def build_report(
+    comments: DataFrame, top_n: int = 20, sample_size: int = SAMPLE_SIZE, stage: bool = False
+) -> dict[str, DataFrame]:
+    """The four tables of the report, all lazy.
+
+    With ``stage`` one job first writes the figures of the comments, without their text, to the
+    shared folder. The tables then read the text twice (keywords, sample) instead of six times,
+    which pays off for a table of any size; ids must then be part of the input.
+    """
     rows = analysis_rows(require_columns(with_body(comments)))
-    controversy = analyze(rows, sample_size=sample_size)
+    if "id" not in rows.columns:
+        rows = rows.withColumn("id", F.monotonically_increasing_id())
+    figures = written(_figures(rows, "body"), "report-figures") if stage else None
+    controversy = analyze(rows, sample_size=sample_size, figures=figures)
     return {
         "tfidf_keywords": compute_tfidf(rows, top_n=top_n),
         "controversy_stats": stats_long(controversy["controversy_stats"]),

@@ -114,4 +114,6 @@ def test_report_tables_have_the_known_schemas(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "parquet" / name)).count() == count
         assert spark.read.csv(str(tmp_path / "csv" / name), header=True).columns == table.columns
     assert report["controversy_stats"].count() == 8
+    for name, table in build_report(df, stage=True).items():
+        assert sorted(map(tuple, table.collect())) == sorted(map(tuple, report[name].collect()))
     assert analysis_rows(src.with_body(df)).count() == 60
