@@ -87,34 +87,48 @@ def word_counts_by_side(df: DataFrame, text_column: str = "body") -> DataFrame:
     )
 
 
-def _telling_words(counts: DataFrame, label: str, target: str, background: str) -> DataFrame:
-    totals = counts.agg(
-        F.sum("controversial_count").alias("controversial_count"),
-        F.sum("non_controversial_count").alias("non_controversial_count"),
-    )
-    target_total = totals.select(F.col(target).cast("double")).scalar()
-    background_total = totals.select(F.col(background)).scalar()
-    frequent = counts.orderBy(F.desc(target), "word").limit(CANDIDATE_WORDS)
-    share = F.col(target) / target_total
-    other_share = (F.col(background) + 1).cast("double") / (background_total + 1)
-    best_first = Window.partitionBy("type").orderBy(F.desc("_score"), "keyword")
-    return (
-        frequent.filter((F.col(target) >= MIN_COUNT) & (background_total > 0))
-        .select(F.lit(label).alias("type"), F.col("word").alias("keyword"), (share / other_share).alias("_score"))
-        # At most CANDIDATE_WORDS rows are ranked.
-        .withColumn("rank", F.row_number().over(best_first))
-    )
+# Name of a side, its count, the count of the other side.
+SIDES = (
+    ("controversial", "controversial_count", "non_controversial_count"),
+    ("non_controversial", "non_controversial_count", "controversial_count"),
+)
+
+
+def _sides(counts: DataFrame) -> DataFrame:
+    """``(type, own_total, other_total)``: how many words each side has, in two rows."""
+    totals = counts.agg(*[F.sum(own).alias(own) for _, own, _ in SIDES])
+    rows = [x for label, own, other in SIDES for x in (F.lit(label), F.col(own), F.col(other))]
+    return totals.select(F.stack(F.lit(len(SIDES)), *rows).alias("type", "own_total", "other_total"))
+
+
+def _frequent(counts: DataFrame) -> DataFrame:
+    """``(type, keyword, own, other)``: the most frequent words of each side."""
+    parts = [
+        counts.orderBy(F.desc(own), "word")
+        .limit(CANDIDATE_WORDS)
+        .select(F.lit(label).alias("type"), F.col("word").alias("keyword"), F.col(own).alias("own"), F.col(other).alias("other"))
+        for label, own, other in SIDES
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 def rank_differential(counts: DataFrame, top_n: int = TOP_WORDS) -> DataFrame:
     """Words of each side by the ratio of their shares; nothing if one side has no words."""
-    sides = (
-        ("controversial", "controversial_count", "non_controversial_count"),
-        ("non_controversial", "non_controversial_count", "controversial_count"),
+    share = F.col("own").cast("double") / F.col("own_total")
+    other_share = (F.col("other") + 1).cast("double") / (F.col("other_total") + 1)
+    best_first = Window.partitionBy("type").orderBy(F.desc("score"), "keyword")
+    return (
+        _frequent(counts)
+        .filter(F.col("own") >= MIN_COUNT)
+        # Two rows. A join rather than a scalar subquery: all readers of `counts` then share its shuffle.
+        .join(F.broadcast(_sides(counts)), "type")
+        .filter(F.col("other_total") > 0)
+        .select("type", "keyword", (share / other_share).alias("score"))
+        # At most CANDIDATE_WORDS rows per side are ranked.
+        .withColumn("rank", F.row_number().over(best_first))
+        .filter(F.col("rank") <= top_n)
+        .select("type", "rank", "keyword", "score")
     )
-    hits, others = (_telling_words(counts, *side) for side in sides)
-    both = hits.unionByName(others).filter(F.col("rank") <= top_n)
-    return both.select("type", "rank", "keyword", F.col("_score").alias("score"))
 
 
 def differential_keywords(
