@@ -41,7 +41,7 @@ def _dated(df: DataFrame) -> DataFrame:
 def _with_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = comments(spark, sf_dir, "id", "body")
     rows = tx.staged(rows, "clean_text", tx.clean_text(F.col("body")))
-    rows = tx.staged(rows, "again", tx.clean_text(F.col("clean_text")))
+    rows = tx.staged(rows, "again", tx.clean_again(F.col("clean_text")))
     return tx.staged(rows, "tokens", tx.split_tokens(F.col("again")))
 
 

@@ -63,6 +63,17 @@ def clean_text(text: Column, options: CleanOptions = CleanOptions()) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(text, NOT_PLAIN_TEXT, " ")), F.lit(""))
 
 
+def clean_again(clean: Column) -> Column:
+    """What a second cleaning does to a text that ``clean_text`` gave.
+
+    Such a text has letters, digits, apostrophes, hyphens and single spaces only. All the other
+    patterns need a character that is gone by now, so three of them are left to apply.
+    """
+    for pattern in (TABLE_SEPARATOR, REPEATED_CHARS, BARE_HEX_ENTITY):
+        clean = F.regexp_replace(clean, pattern, " ")
+    return F.trim(F.regexp_replace(clean, " {2,}", " "))
+
+
 def split_tokens(clean: Column, options: CleanOptions = CleanOptions()) -> Column:
     """Tokens of a text that is already clean."""
     tokens = F.split(clean, " ")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.config import CleanOptions
-from parley.functions.text import clean_text, split_tokens, staged
+from parley.functions.text import clean_again, clean_text, split_tokens, staged
 
 # Fixed value: a comment whose text was taken down.
 TAKEN_DOWN = r"(?d)^\[deleted\]$|^\[removed\]$"
@@ -64,7 +64,7 @@ def preprocess(df: DataFrame, options: CleanOptions = CleanOptions(), text: str
     """
     rows = valid_text(df, options, text)
     rows = staged(rows, "clean_text", clean_text(F.col(text), options))
-    rows = staged(rows, "_recleaned", clean_text(F.col("clean_text"), options))
+    rows = staged(rows, "_recleaned", clean_again(F.col("clean_text")))
     rows = staged(rows, "tokens", split_tokens(F.col("_recleaned"), options)).drop("_recleaned")
     rows = rows.withColumn("token_count", F.size("tokens"))
     return rows.filter(F.col("token_count") >= options.min_tokens)

@@ -55,10 +55,18 @@ def test_tokenize(spark):
     assert column(spark, ["the a 42", ""], lambda t: tx.tokenize(t, plain)) == [["the", "a", "42"], []]
 
 
-def test_tokens_of_clean_text_need_the_second_cleaning(spark):
-    # The first cleaning joins what the second one takes for a bare entity.
-    once = column(spark, ["x20ééaa word more"], tx.clean_text)
-    assert once == ["x20 aa word more"]
+def test_second_cleaning(spark):
+    # Removing one thing can uncover another: here a bare entity, a separator and a run.
+    texts = ["x2&amp;0bb", "xx20éabc", "x20xaaaa1bc", "-&amp;- a", "a é-- - b", "aa@me aab", "c1 --b", "ccxabcdcc"]
+    once = column(spark, texts, tx.clean_text)
+    assert column(spark, once, tx.clean_again) == column(spark, once, tx.clean_text)
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(texts=st.lists(st.text(alphabet="axb0-' *|&;@>\né", max_size=40), min_size=20, max_size=60))
+def test_second_cleaning_is_a_full_cleaning(spark, texts):
+    once = column(spark, texts, tx.clean_text)
+    assert column(spark, once, tx.clean_again) == column(spark, once, tx.clean_text)
 
 
 def test_ngrams(spark):
