@@ -10,7 +10,7 @@ SALTS = 64
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
-    """Inner join of ``left``, whose keys may be hot, with ``right``, which has one row per key.
+    """Inner join of ``left``, whose keys may be hot, with ``right``, which has a few rows per key at most.
 
     Hot keys are cut into ``SALTS`` parts on the left and repeated as often on the right; only their
     list, shorter than ``HOT_SHARE``, is broadcast. ``counts`` may give the rows per key as ``n``.
