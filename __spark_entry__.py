@@ -24,6 +24,14 @@ from parley.sources.comments import load_comments, normalize_columns, select_com
 from parley.sources.sinks import write_table  # noqa: E402
 from parley.streaming.windows import closed_window_counts, with_open_windows  # noqa: E402
 
+try:
+    import parley.llm.registry as llm  # noqa: E402
+except ModuleNotFoundError as error:
+    # The subpackage may be absent; anything else that is missing is an error.
+    if not (error.name or "").startswith("parley.llm"):
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -255,8 +263,8 @@ def queries() -> dict[str, Query]:
     q["folded_copies_longest"] = _folded_copies("longest")
     q["folded_copies_highest_score"] = _folded_copies("highest_score")
     q["opinion_clusters"] = opinion_clusters
-    return q
+    return q | (llm.queries() if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.oracle_sql()
+    return oracle_queries.oracle_sql() | (llm.oracle_sql() if llm else {})

@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1000  # a key with more than 1/HOT_SHARE of the rows is hot: there are fewer than HOT_SHARE
-SALTS = 64
+HOT_SHARE = 20_000  # a part holds at most 1/HOT_SHARE of the rows, so there are fewer hot keys than that
+PART_ROWS = 10_000  # nor is a key with fewer rows than this cut
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
-    """Inner join of ``left``, whose keys may be hot, with ``right``, which has a few rows per key at most.
+def salted_join(
+    left: DataFrame, right: DataFrame, key: str | Sequence[str], counts: DataFrame | None = None, how: str = "inner"
+) -> DataFrame:
+    """Join ``left``, whose keys may be hot, with ``right``, which has a few rows per key at most.
 
-    Hot keys are cut into ``SALTS`` parts on the left and repeated as often on the right; only their
-    list, shorter than ``HOT_SHARE``, is broadcast. ``counts`` may give the rows per key as ``n``.
-    ``left`` is read twice, so it should be cheap to read.
+    A key with more rows than a part may hold is cut into as many parts as its count asks for, by a
+    hash of the rows of ``left``, and repeated as often on the right. Only the hashes of such keys are
+    broadcast; there are fewer than ``HOT_SHARE``. ``counts`` may give the rows per key as ``n``, else
+    they are counted, which reads ``left`` once more. ``how`` is ``inner`` or ``left``.
     """
-    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts.select(key, "n")
-    total = counts.agg(F.sum("n")).scalar()
-    hot = F.broadcast(counts.filter(F.col("n") * HOT_SHARE > total).select(key, F.lit(True).alias("_hot")))
-    part = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
-    parts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    salted = left.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), part).otherwise(0)).drop("_hot")
-    repeated = (
-        right.join(hot, key, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), parts).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
+    keys = [key] if isinstance(key, str) else list(key)
+    counts = left.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts.select(*keys, "n")
+    part_rows = F.greatest(counts.agg(F.sum("n")).scalar() / HOT_SHARE, F.lit(float(PART_ROWS)))
+    hashed = F.xxhash64(*keys)
+    hot = counts.filter(F.col("n") > part_rows).select(
+        hashed.alias("_hot"), F.ceil(F.col("n") / part_rows).cast("int").alias("_parts")
     )
-    return salted.join(repeated, [key, "_salt"]).drop("_salt")
+    hot = F.broadcast(hot.groupBy("_hot").agg(F.max("_parts").alias("_parts")))
+    part = F.pmod(F.xxhash64(*left.columns), F.col("_parts")).cast("int")
+    salted = left.join(hot, hashed == F.col("_hot"), "left").withColumn("_salt", F.coalesce(part, F.lit(0)))
+    parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    repeated = right.join(hot, hashed == F.col("_hot"), "left").withColumn("_salt", F.explode(parts))
+    unused = ("_hot", "_parts")
+    return salted.drop(*unused).join(repeated.drop(*unused), [*keys, "_salt"], how).drop("_salt")
