@@ -46,7 +46,7 @@ def _urls() -> str:
 WITH caps AS (
   SELECT page_id, nullif(lower(regexp_replace(regexp_replace({host}, '^.*@', ''), '\\.?(:[0-9]*)?$', '')), '') AS host,
     regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
-    {start} + to_seconds({number.format('url')} % 2592000) AS at
+    {start} + to_seconds({number.format('url')} % 2592000) AS tm
   FROM pages),
 hosts AS (SELECT DISTINCT host, {number.format('host')} AS k FROM caps WHERE host IS NOT NULL),
 spans AS (
@@ -57,13 +57,13 @@ raw AS (
     CASE WHEN k % 3 = 0 THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE host || '/en' END AS pattern, f, t
   FROM spans WHERE k % 3 < 2),
 changes AS (
-  SELECT kind, pattern, 'add' AS action, f AS at FROM raw UNION
+  SELECT kind, pattern, 'add' AS action, f AS tm FROM raw UNION
   SELECT kind, pattern, 'remove', t FROM raw WHERE t IS NOT NULL),
 valid AS (
-  SELECT kind, pattern, action, at AS f, lead(at) OVER (PARTITION BY kind, pattern ORDER BY at, action) AS t FROM changes),
+  SELECT kind, pattern, action, tm AS f, lead(tm) OVER (PARTITION BY kind, pattern ORDER BY tm, action) AS t FROM changes),
 met AS (
   SELECT c.page_id, v.kind || ' ' || v.pattern AS key, length(v.pattern) AS len
-  FROM caps c JOIN valid v ON v.action = 'add' AND c.at >= v.f AND (v.t IS NULL OR c.at < v.t)
+  FROM caps c JOIN valid v ON v.action = 'add' AND c.tm >= v.f AND (v.t IS NULL OR c.tm < v.t)
    AND CASE WHEN v.kind = 'domain' THEN c.host = v.pattern OR ends_with(c.host, '.' || v.pattern)
             ELSE starts_with(c.host || c.path || '/', v.pattern || '/') END),
 found AS (SELECT page_id, count(*) AS n, arg_min(key, struct_pack(a := -len, b := key)) AS key FROM met GROUP BY page_id)
