@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-MOST_WORDS = 500_000  # remembered per worker: bounds memory, not results
+MOST_WORDS = 800_000  # remembered per worker: bounds memory, not results
 BATCH_BYTES = 4 << 20
 PUNCTUATION = ".,;:!?-)(\"'*#%$&|<>/[]{}=+_~`^@\\"
 
@@ -30,72 +31,82 @@ class WordTokens:
         self._forget()
 
     def _forget(self) -> None:
+        # A word is two pieces: its letters and what follows them. Piece 0 is empty.
         self.places: dict[bytes, int] = {}
-        self.pieces: dict[str, np.ndarray] = {"": np.zeros(0, dtype=np.uint32)}
-        self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
-        self.starts = np.zeros(1 << 14, dtype=np.int64)
-        self.lengths = np.zeros(1 << 14, dtype=np.int64)
-
-    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_letters(self, words: list[str]) -> None:
-        """Words of letters only: one piece each, so many fit in one call and the word ends part their ids."""
-        for k in range(0, len(words), 500):
-            some = words[k : k + 500]
-            ids = self._encoded([" ".join(some)])[0]
-            parts = np.split(ids, np.flatnonzero(self.ends[ids]) + 1)[:-1]
+        self.parts = np.zeros((0, 2), dtype=np.int64)
+        self.pieces: dict[str, int] = {"": 0}
+        self.starts, self.lengths = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=np.uint32)
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_pieces(self, letters: list[str], others: list[str]) -> None:
+        """Pieces of letters only fit many in one call, as the ids of word ends part them; others are encoded alone."""
+        ids, lengths = [], []
+        for k in range(0, len(letters), 500):
+            some = letters[k : k + 500]
+            found = np.array(self._encoded([" ".join(some)])[0], dtype=np.uint32)
+            ends = np.flatnonzero(self.ends[found]) + 1
             # A letter whose lower case is more than letters gives more pieces than words.
-            self.pieces.update(zip(some, parts if len(parts) == len(some) else self._encoded(some)))
+            if len(ends) != len(some):
+                alone = self._encoded(some)
+                found = np.array([i for x in alone for i in x], dtype=np.uint32)
+                ends = np.cumsum([len(x) for x in alone])
+            ids.append(found)
+            lengths.append(np.diff(ends, prepend=0))
+        alone = self._encoded(others)
+        ids.append(np.array([i for x in alone for i in x], dtype=np.uint32))
+        lengths = np.concatenate([*lengths, [len(x) for x in alone]]).astype(np.int64)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, *ids])
+        for piece in [*letters, *others]:
+            self.pieces[piece] = len(self.pieces)
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.places) + len(words) > MOST_WORDS and self.places:
             self._forget()
-        split, others, wanted = [], [], {}
+        split, letters, others = [], {}, {}
         for word in words:
             text = word.decode()
             core = text.rstrip(PUNCTUATION)
             if core.isalpha():
                 tail = text[len(core) :]
                 core = core.lower() if core.isascii() else core
-                split.append((word, core, tail))
                 if core not in self.pieces:
-                    wanted[core] = None
-                if tail and tail not in self.pieces:
-                    self.pieces[tail] = self._encoded([tail])[0]
+                    letters[core] = None
+                if tail not in self.pieces:
+                    others[tail] = None
+                split.append((core, tail))
             else:
-                others.append(word)
-        self._learn_letters(list(wanted))
-        for word, core, tail in split:
-            self._add(word, np.concatenate([self.pieces[core], self.pieces[tail]]) if tail else self.pieces[core])
-        for word, ids in zip(others, self._encoded([w.decode() for w in others])):
-            self._add(word, ids)
-
-    def _add(self, word: bytes, ids: np.ndarray) -> None:
-        place = self.places[word] = len(self.places)
-        if place >= len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[place], self.lengths[place] = self.used, len(ids)
-        self.used += len(ids)
+                # A piece of letters is never looked up by a word that is not.
+                if text not in self.pieces:
+                    others[text] = None
+                split.append((text, ""))
+        self._learn_pieces(list(letters), list(others))
+        pieces, first = self.pieces, len(self.places)
+        parts = np.fromiter((pieces[x] for pair in split for x in pair), dtype=np.int64, count=2 * len(split))
+        self.parts = np.concatenate([self.parts, parts.reshape(-1, 2)])
+        self.places.update(zip(words, range(first, first + len(split))))
 
     def encode(self, texts: list[bytes], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's ids begin, with the total last."""
         split = [text.split() for text in texts]  # bytes.split: ASCII white space only
-        words = [w for some in split for w in some]
-        unknown = set(words).difference(self.places)
+        words = list(chain.from_iterable(split))
+        every = set(words)
+        unknown = every.difference(self.places)
         if unknown:
             self._learn(unknown)
-            if not self.places.keys() >= set(words):  # what was known before has just been forgotten
-                self._learn(set(words).difference(self.places))
+            if len(self.places) == len(unknown) < len(every):  # what was known before has just been forgotten
+                self._learn(every.difference(unknown))
         places = np.fromiter(map(self.places.__getitem__, words), dtype=np.int64, count=len(words))
-        lengths = self.lengths[places]
+        pieces = self.parts[places].ravel()
+        lengths = self.lengths[pieces]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(self.starts[places] - (ends - lengths), lengths)]
+        ids = self.flat[np.arange(total) + np.repeat(self.starts[pieces] - (ends - lengths), lengths)]
+        ends = ends[1::2]
         word_bounds = np.cumsum([0] + [len(some) for some in split])
         bounds = np.concatenate([[0], ends])[word_bounds]
         if end_id is not None:
