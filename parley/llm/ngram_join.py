@@ -7,8 +7,8 @@ follows from keys that similar sets are bound to share (``shingles.shared_keys``
 
 Links matter up to components. First the smallest node of a key's nodes queries the groups
 of the others, which is linear in the nodes, however alike they are. Then only nodes outside the
-largest component of a key query that key's groups of other components. Any link between two
-components joins such a node to such a group, so no link between components is lost.
+largest component of a key query the groups that hold that key's nodes, and compare with other components.
+Any link between two components joins such a node to such a group, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.shingles import shared_keys, shingle_set, size_classes
+from parley.llm.shingles import shared_keys, shingle_set
 from parley.llm.wordtokens import text_groups
 from parley.operators.components import connected_components
 from parley.operators.skew import salted_join
@@ -32,7 +32,6 @@ from parley.plans.storage import shared_dir, written
 
 GROUP = 128  # members of a group of the matrix
 QUERIES = 1024  # queries that a group takes at once
-LARGEST_SET = 1 << 40
 LONGS = pa.list_(pa.int64())
 
 
@@ -43,11 +42,10 @@ def _name(s: np.ndarray) -> int | None:
 
 def _sketches(size: int, threshold: Fraction):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = size_classes(LARGEST_SET)
         for batch in batches:
             for first, texts in text_groups(batch, "text"):
                 sets = [shingle_set(text, size) for text in texts]
-                keys = [shared_keys(s, ends, threshold) for s in sets]
+                keys = [shared_keys(s, threshold) for s in sets]
                 offsets = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
                 flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -84,18 +82,21 @@ def _open_groups(threshold: Fraction):
         union = np.unique(np.concatenate(sets)) if sets else np.zeros(0, dtype=np.uint64)
         common = lambda a, b: int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
         found = []
-        if sets:
-            for query, s in zip(queries.column("node").to_pylist(), arrays(queries, "shingles")):
-                # |Q & S| / |Q | S| is at most |Q & union| / |Q|.
-                if q * common(s, union) < p * len(s):
+        homes = members.column("component").to_pylist()
+        sides = zip(queries.column("node").to_pylist(), queries.column("component").to_pylist(), arrays(queries, "shingles"))
+        for query, home, s in sides if sets else ():
+            # |Q & S| / |Q | S| is at most |Q & union| / |Q|.
+            if q * common(s, union) < p * len(s):
+                continue
+            linked = {home}  # what is linked already, one way or another, needs no second link
+            for name, other_home, other in zip(names, homes, sets):
+                small, large = sorted((s, other), key=len)
+                if other_home in linked or q * len(small) < p * len(large):
                     continue
-                for name, other in zip(names, sets):
-                    small, large = sorted((s, other), key=len)
-                    if name == query or q * len(small) < p * len(large):
-                        continue
-                    both = common(small, large)
-                    if q * both >= p * (len(s) + len(other) - both):
-                        found.append((query, name))
+                both = common(small, large)
+                if q * both >= p * (len(s) + len(other) - both):
+                    found.append((query, name))
+                    linked.add(other_home)
         columns = [pa.array(c, pa.int64()) for c in zip(*found)] or [pa.array([], pa.int64())] * 2
         return pa.table(columns, ["a", "b"])
 
@@ -103,15 +104,15 @@ def _open_groups(threshold: Fraction):
 
 
 def _links(requests: DataFrame, members: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Links ``(a, b)`` between the queries of ``requests (group, node)`` and the nodes of ``members (group, node)``.
+    """Links ``(a, b)`` between the queries of ``requests`` and the ``members``, both ``(group, node, component)``.
 
     A group with many queries is opened in several tasks, each with a share of them.
     """
     counts = requests.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("shares"))
     share = F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share")
-    left = requests.join(counts, "group").select("group", share, "node").join(sets, "node")
+    left = requests.join(counts, "group").select("group", share, "node", "component").join(sets, "node")
     shares = F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
-    right = members.join(counts, "group").select("group", shares, "node").join(sets, "node")
+    right = members.join(counts, "group").select("group", shares, "node", "component").join(sets, "node")
     both = left.withColumn("query", F.lit(True)).unionByName(right.withColumn("query", F.lit(False)))
     return both.groupBy("group", "share").applyInArrow(_open_groups(threshold), "a bigint, b bigint")
 
@@ -138,8 +139,9 @@ def key_components(spread: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
 
     followers = met.filter("node <> lead").select("lead", "node").distinct()
     groups = written(_grouped(followers, "lead"), "groups")
+    own = F.col("node").alias("component")  # so far every node is a component of its own
     requests = groups.select("group", F.col("lead").alias("node")).distinct()
-    links = written(_links(requests, groups.select("group", "node"), sets, threshold), "links")
+    links = written(_links(requests.select("*", own), groups.select("group", "node", own), sets, threshold), "links")
     components = written(connected_components(links), "components")
 
     named = met.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -150,10 +152,14 @@ def key_components(spread: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
     outside = named.join(main, "key").filter("component <> main").select("key", "node", "component")
-    groups = written(_grouped(named.select("component", "node").distinct(), "component"), "groups")
-    places = named.join(groups, ["component", "node"]).select("key", "group", F.col("component").alias("_other")).distinct()
-    requests = outside.join(places, "key").filter("component <> _other").select("group", "node").distinct()
-    more = written(_links(requests, groups.select("group", "node"), sets, threshold), "links")
+    # Nodes have a home, their smallest leader, whose groups hold them once, however many keys they share.
+    homes = met.groupBy("node").agg(F.min("lead").alias("home"))
+    homes = written(homes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")), "homes")
+    members = written(_grouped(homes.select("home", "node"), "home").join(homes.select("node", "component"), "node"), "groups")
+    key_homes = named.join(homes.select("node", "home"), "node").select("key", "home").distinct()
+    asked = outside.join(key_homes, "key").select("home", "node", "component").distinct()
+    requests = asked.join(members.select("home", "group").distinct(), "home").select("group", "node", "component")
+    more = written(_links(requests, members.select("group", "node", "component"), sets, threshold), "links")
     return components if more.isEmpty() else written(connected_components(links.unionByName(more)), "components")
 
 

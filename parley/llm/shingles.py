@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -10,6 +12,7 @@ import xxhash
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _DEEPEST = 12
+_LARGEST = 1 << 40
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,12 +45,13 @@ def most_differing(largest: int, threshold: Fraction) -> int:
     return int(2 * largest * (1 - threshold) / (1 + threshold))
 
 
-def size_classes(largest: int) -> list[int]:
+@lru_cache
+def size_classes(largest: int) -> tuple[int, ...]:
     """Upper ends of the size classes, each half as large again as the last."""
     ends = [1]
     while ends[-1] < largest:
         ends.append(max(ends[-1] + 1, ends[-1] * 3 // 2))
-    return ends
+    return tuple(ends)
 
 
 def _cells(s: np.ndarray, cells: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,37 +62,57 @@ def _cells(s: np.ndarray, cells: int, seed: int) -> tuple[np.ndarray, np.ndarray
     return sums, np.bincount(place, minlength=cells)
 
 
-def _keys(s: np.ndarray, cells: int, seed: int, depth: int = 0) -> list[np.ndarray]:
+def class_cells(k: int, ends: tuple[int, ...], threshold: Fraction) -> tuple[int, int]:
+    """Cells of size class ``k``, and how many of them may be empty.
+
+    Two similar sets differ in so many elements at most, hence in so many cells. One cell more is equal in both,
+    and as many again as may be empty leave an equal one with something in it.
+    """
+    least = int((ends[k - 1] + 1) * threshold) if k else 1
+    differing, spare = most_differing(ends[k], threshold), 0
+    for _ in range(3):
+        cells = differing + 1 + spare
+        expected = cells * math.exp(-least / cells)
+        spare = math.ceil(expected + 5 * math.sqrt(expected)) if expected > 0.05 else 0
+    return differing + 1 + spare, spare
+
+
+def _keys(s: np.ndarray, cells: int, spare: int, seed: int, depth: int = 0) -> list[np.ndarray]:
     sums, counts = _cells(s, cells, seed)
     names = mix(np.arange(cells, dtype=np.uint64) + np.array([seed], dtype=np.uint64) * _A)
     keys = mix(sums ^ names)
     empty = np.flatnonzero(counts == 0)
-    if not len(empty) or depth == _DEEPEST:
+    if depth == _DEEPEST:
         return [keys]
-    # Far too many sets have the same empty cell: such a cell is dealt out again, by another hash.
     found = [keys[counts > 0]]
-    for cell in empty.tolist():
-        found += _keys(s, cells, int(names[cell] >> np.uint64(1)), depth + 1)
+    if len(empty) > spare:
+        # Too many sets have the same empty cells: each such cell is dealt out again, by another hash.
+        for cell in empty.tolist():
+            found += _keys(s, cells, spare, int(names[cell] >> np.uint64(1)), depth + 1)
     return found
 
 
-def shared_keys(s: np.ndarray, ends: list[int], threshold: Fraction) -> np.ndarray:
+@lru_cache(maxsize=4096)
+def _plan(k: int, threshold: Fraction) -> tuple[int, int]:
+    return class_cells(k, size_classes(_LARGEST), threshold)
+
+
+def shared_keys(s: np.ndarray, threshold: Fraction) -> np.ndarray:
     """Keys of a set; two sets of similarity ``threshold`` or more have one in common, whatever they hold.
 
-    Elements are dealt to one cell more than can differ between two such sets of a size class, so at least one
-    cell is equal in both, and a key names a cell's content. A set near the end of its class also
+    Elements are dealt to more cells than can differ between two such sets of a size class, so one with elements is equal
+    in both, and a key names a cell's content. A set near the end of its class also
     gives the keys of the next, where larger sets may resemble it.
     """
     n = len(s)
     if not n:
         return np.zeros(0, dtype=np.int64)
+    ends = size_classes(_LARGEST)
     k = int(np.searchsorted(ends, n))
-    wanted = [k]
-    if k + 1 < len(ends) and Fraction(n, ends[k] + 1) >= threshold:
-        wanted.append(k + 1)
+    wanted = [k, k + 1] if Fraction(n, ends[k] + 1) >= threshold else [k]
     found = []
     for c in wanted:
-        found += _keys(s, most_differing(ends[c], threshold) + 1, c + 1)
+        found += _keys(s, *_plan(c, threshold), c + 1)
     return np.unique(np.concatenate(found)).view(np.int64)
 
 
