@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle_queries  # noqa: E402
+from parley.config import CleanOptions  # noqa: E402
 from parley.functions import text as tx  # noqa: E402
 from parley.operators import clusters, controversy, filters, keywords, neardup, sampling, stats, trends  # noqa: E402
 from parley.plans.report import build_report  # noqa: E402
@@ -83,8 +84,10 @@ def load_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subreddit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = _preprocessed(spark, sf_dir).select("id", "subreddit", "token_count")
-    scores = comments(spark, sf_dir, "id", "score")
-    return stats.subreddit_stats(counted.join(scores, "id"))
+    scores = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.floor("value").cast("bigint").alias("score")
+    )
+    return stats.subreddit_stats(counted.join(scores, "id", "left"))
 
 
 def controversy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,9 +111,9 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.compute_tfidf(_analysis(spark, sf_dir, "body", "subreddit"))
 
 
-def differential(spark: SparkSession, sf_dir: str, sample_size: int = controversy.SAMPLE_SIZE) -> DataFrame:
+def differential(spark: SparkSession, sf_dir: str, **options: int) -> DataFrame:
     rows = _analysis(spark, sf_dir, "id", "body", "subreddit", "controversiality")
-    return _rounded(controversy.differential_keywords(rows, sample_size=sample_size), "score")
+    return _rounded(controversy.differential_keywords(rows, **options), "score")
 
 
 def hot_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +191,9 @@ def queries() -> dict[str, Query]:
     )
     q["filter_min_score"] = lambda s, d: filters.with_min_score(comments(s, d, "id", "subreddit", "score"), 50)
     q["comments_by_subreddit"] = lambda s, d: filters.of_subreddit(comments(s, d, "id", "subreddit", "body"), "src3")
-    q["valid_comments"] = lambda s, d: filters.valid_text(comments(s, d, "id", "body"), text="body")
+    q["valid_comments"] = lambda s, d: filters.valid_text(
+        comments(s, d, "id", "body"), CleanOptions(max_length=5000), text="body"
+    )
     q["analysis_input"] = lambda s, d: _analysis(s, d, "id", "subreddit", "body")
     q["controversy_split"] = lambda s, d: filters.controversy_split(comments(s, d, "id", "controversiality")).drop(
         "controversiality"
@@ -246,7 +251,7 @@ def queries() -> dict[str, Query]:
     # Keywords
     q["tfidf_keywords"] = tfidf
     q["differential_keywords"] = differential
-    q["differential_keywords_sampled"] = lambda s, d: differential(s, d, 30)
+    q["differential_keywords_sampled"] = lambda s, d: differential(s, d, sample_size=30, candidates=300)
     q["keyword_comparison"] = lambda s, d: controversy.keyword_comparison(differential(s, d))
     q["top_keyword_groups"] = lambda s, d: keywords.top_keyword_groups(tfidf(s, d))
     q["unique_vocabulary"] = lambda s, d: keywords.unique_vocabulary(_analysis(s, d, "body", "subreddit"))

@@ -55,7 +55,7 @@ def split_tokens(clean_text: str) -> str:
     )
 
 
-VALID = r"""length(body) BETWEEN 10 AND 5000
+VALID = r"""length(body) >= 10
   AND NOT regexp_matches(body, '^\[deleted\]\n?$|^\[removed\]\n?$')"""
 
 # Every comment with its tokens, valid or not.
@@ -124,18 +124,20 @@ def sampled(relation: str, n: int) -> str:
       ORDER BY md5(concat(CAST(id AS VARCHAR), '42')), id) <= {n})"""
 
 
-def differential(n: int) -> str:
+def differential(n: int | None = None, candidates: int | None = None) -> str:
+    rows = "worded" if n is None else sampled("worded", n)
+    limit = "" if candidates is None else f"LIMIT {candidates}"
     return f"""{WORDS},
 side_words AS (
-  SELECT coalesce(controversiality = 1, false) AS hit, unnest(words) AS word FROM {sampled("worded", n)}),
+  SELECT coalesce(controversiality = 1, false) AS hit, unnest(words) AS word FROM {rows}),
 counts AS MATERIALIZED (
   SELECT word, count(*) FILTER (hit) AS c, count(*) FILTER (NOT hit) AS nc FROM side_words GROUP BY word),
 sums AS (SELECT sum(c) AS c_total, sum(nc) AS nc_total FROM counts),
 candidates AS (
   (SELECT 'controversial' AS type, word, c AS own, nc AS other, c_total AS own_total, nc_total AS other_total
-   FROM counts, sums ORDER BY c DESC, word LIMIT 300)
+   FROM counts, sums ORDER BY c DESC, word {limit})
   UNION ALL
-  (SELECT 'non_controversial', word, nc, c, nc_total, c_total FROM counts, sums ORDER BY nc DESC, word LIMIT 300)),
+  (SELECT 'non_controversial', word, nc, c, nc_total, c_total FROM counts, sums ORDER BY nc DESC, word {limit})),
 differential AS (
   SELECT type, word AS keyword,
     (CAST(own AS DOUBLE) / own_total) / (CAST(other + 1 AS DOUBLE) / (other_total + 1)) AS score,
@@ -195,7 +197,7 @@ def oracle_sql() -> dict[str, str]:
     )
     q["filter_min_score"] = f"WITH {COMMENTS} SELECT id, subreddit, score FROM comments WHERE score >= 50"
     q["comments_by_subreddit"] = f"WITH {COMMENTS} SELECT id, subreddit, body FROM comments WHERE subreddit = 'src3'"
-    q["valid_comments"] = f"WITH {COMMENTS} SELECT id, body FROM comments WHERE {VALID}"
+    q["valid_comments"] = f"WITH {COMMENTS} SELECT id, body FROM comments WHERE length(body) <= 5000 AND {VALID}"
     q["analysis_input"] = f"WITH {ANALYSIS} SELECT id, subreddit, body FROM analysis"
     q["controversy_split"] = (
         f"WITH {COMMENTS} SELECT id, coalesce(controversiality = 1, false) AS is_controversial FROM comments"
@@ -268,11 +270,11 @@ def oracle_sql() -> dict[str, str]:
       ORDER BY rates.controversy_rate DESC NULLS LAST, subreddit LIMIT 5"""
     # Keywords
     q["tfidf_keywords"] = f"WITH {TFIDF} SELECT subreddit, rank, keyword, tfidf_score FROM keywords"
-    q["differential_keywords"] = f"""WITH {differential(50_000)} SELECT type, CAST(rn AS INTEGER) AS rank, keyword,
+    q["differential_keywords"] = f"""WITH {differential()} SELECT type, CAST(rn AS INTEGER) AS rank, keyword,
       round(score, 6) AS score FROM differential WHERE rn <= 50"""
-    q["differential_keywords_sampled"] = f"""WITH {differential(30)} SELECT type, CAST(rn AS INTEGER) AS rank, keyword,
+    q["differential_keywords_sampled"] = f"""WITH {differential(30, 300)} SELECT type, CAST(rn AS INTEGER) AS rank, keyword,
       round(score, 6) AS score FROM differential WHERE rn <= 50"""
-    q["keyword_comparison"] = f"""WITH {differential(50_000)} SELECT type, keyword, round(score, 6) AS score
+    q["keyword_comparison"] = f"""WITH {differential()} SELECT type, keyword, round(score, 6) AS score
       FROM differential WHERE rn <= 30"""
     q["top_keyword_groups"] = f"""WITH {TFIDF},
       largest AS (SELECT subreddit, count(*) AS keyword_count FROM keywords GROUP BY subreddit

@@ -68,29 +68,30 @@ class CleanOptions:
     lowercase: bool = True
     remove_stopwords: bool = True
     min_length: int = 10
-    max_length: int = 5000
+    max_length: int | None = None  # no limit unless asked for
     min_tokens: int = 3
     stop_words: frozenset[str] = CLEANER_STOP_WORDS
 
 
 @dataclass(frozen=True)
 class Preset:
-    """Size of a run: comments to load (None means all), hot topics and clusters to report."""
+    """Size of a report: hot topics and clusters. It never limits the comments that are read."""
 
-    num_comments: int | None
     top_k: int
     num_clusters: int
 
 
 # Run sizes.
 PRESETS = {
-    "demo": Preset(5_000, 5, 4),
-    "medium": Preset(100_000, 10, 5),
-    "large": Preset(500_000, 15, 8),
-    "full": Preset(None, 20, 10),
+    "demo": Preset(5, 4),
+    "medium": Preset(10, 5),
+    "large": Preset(15, 8),
+    "full": Preset(20, 10),
 }
 
 
 def preset(name: str) -> Preset:
-    """The named preset; an unknown name means the demo size."""
-    return PRESETS.get(name, PRESETS["demo"])
+    """The named preset; an unknown name is an error."""
+    if name not in PRESETS:
+        raise ValueError(f"no preset {name!r}; there are {', '.join(PRESETS)}")
+    return PRESETS[name]

@@ -10,11 +10,9 @@ from parley.operators.filters import is_controversial
 from parley.operators.sampling import stratified_sample
 
 # Fixed values of the differential ranking.
-CANDIDATE_WORDS = 300
 MIN_COUNT = 10
 TOP_WORDS = 50
 EXPORT_WORDS = 30
-SAMPLE_SIZE = 50_000
 
 
 def with_comment_length(df: DataFrame, text_column: str = "body") -> DataFrame:
@@ -101,30 +99,30 @@ def _sides(counts: DataFrame) -> DataFrame:
     return totals.select(F.stack(F.lit(len(SIDES)), *rows).alias("type", "own_total", "other_total"))
 
 
-def _frequent(counts: DataFrame) -> DataFrame:
-    """``(type, keyword, own, other)``: the most frequent words of each side."""
+def _frequent(counts: DataFrame, candidates: int | None) -> DataFrame:
+    """``(type, keyword, own, other)``: the words of each side, or its ``candidates`` most frequent ones."""
     parts = [
-        counts.orderBy(F.desc(own), "word")
-        .limit(CANDIDATE_WORDS)
+        (counts if candidates is None else counts.orderBy(F.desc(own), "word").limit(candidates))
         .select(F.lit(label).alias("type"), F.col("word").alias("keyword"), F.col(own).alias("own"), F.col(other).alias("other"))
         for label, own, other in SIDES
     ]
     return parts[0].unionByName(parts[1])
 
 
-def rank_differential(counts: DataFrame, top_n: int = TOP_WORDS) -> DataFrame:
+def rank_differential(
+    counts: DataFrame, top_n: int = TOP_WORDS, candidates: int | None = None, min_count: int = MIN_COUNT
+) -> DataFrame:
     """Words of each side by the ratio of their shares; nothing if one side has no words."""
     share = F.col("own").cast("double") / F.col("own_total")
     other_share = (F.col("other") + 1).cast("double") / (F.col("other_total") + 1)
     best_first = Window.partitionBy("type").orderBy(F.desc("score"), "keyword")
     return (
-        _frequent(counts)
-        .filter(F.col("own") >= MIN_COUNT)
+        _frequent(counts, candidates)
+        .filter(F.col("own") >= min_count)
         # Two rows. A join rather than a scalar subquery: all readers of `counts` then share its shuffle.
         .join(F.broadcast(_sides(counts)), "type")
         .filter(F.col("other_total") > 0)
         .select("type", "keyword", (share / other_share).alias("score"))
-        # At most CANDIDATE_WORDS rows per side are ranked.
         .withColumn("rank", F.row_number().over(best_first))
         .filter(F.col("rank") <= top_n)
         .select("type", "rank", "keyword", "score")
@@ -134,16 +132,19 @@ def rank_differential(counts: DataFrame, top_n: int = TOP_WORDS) -> DataFrame:
 def differential_keywords(
     df: DataFrame,
     text_column: str = "body",
-    sample_size: int = SAMPLE_SIZE,
+    sample_size: int | None = None,
     top_n: int = TOP_WORDS,
     keys: DataFrame | None = None,
+    candidates: int | None = None,
+    min_count: int = MIN_COUNT,
 ) -> DataFrame:
-    """Telling words of both sides, from up to ``sample_size`` comments of each.
+    """Telling words of both sides, from all comments, or from up to ``sample_size`` of each side.
 
-    ``keys`` may be a narrow table of the same comments, see ``stratified_sample``.
+    ``keys`` may be a narrow table of the same comments for the sampling, see ``stratified_sample``.
+    ``candidates`` limits the ranking to the most frequent words of a side.
     """
-    sample = stratified_sample(df, sample_size, keys=keys)
-    return rank_differential(word_counts_by_side(sample, text_column), top_n)
+    rows = df if sample_size is None else stratified_sample(df, sample_size, keys=keys)
+    return rank_differential(word_counts_by_side(rows, text_column), top_n, candidates, min_count)
 
 
 def keyword_comparison(differential: DataFrame, per_type: int = EXPORT_WORDS) -> DataFrame:

@@ -32,7 +32,9 @@ def valid_text(df: DataFrame, options: CleanOptions = CleanOptions(), text: str
     Null text fails the length test, so the null and empty checks need no pass of their own.
     """
     body = F.col(text)
-    in_limits = F.length(body).between(max(options.min_length, 1), options.max_length)
+    in_limits = F.length(body) >= max(options.min_length, 1)
+    if options.max_length is not None:
+        in_limits = in_limits & (F.length(body) <= options.max_length)
     return df.filter(in_limits & ~body.rlike(TAKEN_DOWN))
 
 

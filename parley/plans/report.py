@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators.controversy import (
-    SAMPLE_SIZE,
     controversy_rate_by_subreddit,
     controversy_stats,
     differential_keywords,
@@ -31,7 +30,7 @@ def _figures(rows: DataFrame, text_column: str) -> DataFrame:
 def analyze(
     comments: DataFrame,
     text_column: str = "body",
-    sample_size: int = SAMPLE_SIZE,
+    sample_size: int | None = None,
     figures: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Controversy tables: one-row statistics, rates per community, telling words of both sides."""
@@ -45,7 +44,7 @@ def analyze(
 
 
 def build_report(
-    comments: DataFrame, top_n: int = 20, sample_size: int = SAMPLE_SIZE, stage: bool = False
+    comments: DataFrame, top_n: int = 20, sample_size: int | None = None, stage: bool = False
 ) -> dict[str, DataFrame]:
     """The four tables of the report, all lazy.
 
@@ -55,6 +54,8 @@ def build_report(
     """
     rows = analysis_rows(require_columns(with_body(comments)))
     if "id" not in rows.columns:
+        if sample_size is not None:
+            raise ValueError("sampling needs an id column: generated ids change when they are computed again")
         rows = rows.withColumn("id", F.monotonically_increasing_id())
     figures = written(_figures(rows, "body"), "report-figures") if stage else None
     controversy = analyze(rows, sample_size=sample_size, figures=figures)

@@ -39,8 +39,6 @@ NULL_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
-# Fixed value: from this many comments on, the head of the table is taken instead of a sample.
-HEAD_FROM = 500_000
 
 
 def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -49,7 +47,8 @@ def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     No type is inferred, which would cost a second pass over the files. Quoted newlines mean that
     a file cannot be split, so a large table should come as many files.
     """
-    rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    # A file whose header differs from that of the first is an error; it would otherwise be misread.
+    rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
     return rows.select([F.when(~F.col(f"`{c}`").isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in rows.columns])
 
 
@@ -135,8 +134,7 @@ def select_comments(
     """The load job after reading: take, normalise, filter, preprocess."""
     df = typed(normalize_columns(df))
     if num_comments:
-        sampled = random_sample and num_comments < HEAD_FROM
-        df = sample_n(df, num_comments, seed) if sampled else first_n(df, num_comments)
+        df = sample_n(df, num_comments, seed) if random_sample else first_n(df, num_comments)
     if subreddits:
         df = in_subreddits(df, subreddits)
     if min_score is not None:

@@ -1,3 +1,5 @@
+import pytest
+
 from parley.config import (
     CLEANER_STOP_WORDS,
     CLEANER_WORDS,
@@ -5,7 +7,6 @@ from parley.config import (
     FORUM_WORDS,
     KEYWORD_STOP_WORDS,
     KEYWORD_WORDS,
-    PRESETS,
     preset,
 )
 
@@ -23,6 +24,6 @@ def test_word_lists_have_the_known_sizes():
 
 
 def test_presets():
-    assert preset("full").num_comments is None
     assert (preset("large").top_k, preset("large").num_clusters) == (15, 8)
-    assert preset("no such size") == PRESETS["demo"]
+    with pytest.raises(ValueError):
+        preset("no such size")

@@ -49,7 +49,8 @@ def test_differential_keywords_by_hand(spark):
 def test_candidates_are_taken_before_the_minimum_count(spark):
     words = [chr(97 + i // 26) + chr(97 + i % 26) + "word" for i in range(310)]
     rows = [(i, "a", " ".join(words), i % 2, 0) for i in range(20)]
-    got = controversy.differential_keywords(comments(spark, rows), top_n=400)
+    assert controversy.differential_keywords(comments(spark, rows), top_n=400).filter("type = 'controversial'").count() == 310
+    got = controversy.differential_keywords(comments(spark, rows), top_n=400, candidates=300)
     assert got.filter("type = 'controversial'").count() == 300
     assert got.filter("type = 'controversial'").orderBy("rank").first().keyword == "aaword"
 

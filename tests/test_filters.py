@@ -14,8 +14,9 @@ def test_valid_text_limits_and_taken_down(spark):
         7: "[deleted]", 8: "[deleted]\n", 9: "[removed]\n", 10: "[deleted] by user",
     }
     df = spark.createDataFrame(list(texts.items()), "id int, text string")
-    assert ids(filters.valid_text(df)) == [2, 3, 10]
-    assert ids(filters.valid_text(df, CleanOptions(min_length=0))) == [1, 2, 3, 10]
+    assert ids(filters.valid_text(df)) == [2, 3, 4, 10]
+    assert ids(filters.valid_text(df, CleanOptions(max_length=5000))) == [2, 3, 10]
+    assert ids(filters.valid_text(df, CleanOptions(min_length=0))) == [1, 2, 3, 4, 10]
 
 
 def test_analysis_rows(spark):

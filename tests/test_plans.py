@@ -9,7 +9,7 @@ from parley.operators import controversy, filters, keywords
 from parley.plans.tables import comments
 
 PYTHON_ALLOWED = {"near_dup_candidates", "near_dup_pairs", "folded_comments", "opinion_clusters"}
-QUERIES = entry.queries()
+QUERIES = {n: q for n, q in entry.queries().items() if not re.match(r"op\d+_|pipeline$", n)}
 EAGER = PYTHON_ALLOWED | {"csv_round_trip", "stream_window_counts"} | {q for q in QUERIES if q.startswith("folded_")}
 
 

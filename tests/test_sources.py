@@ -1,4 +1,6 @@
 import pytest
+
+from parley.sources.comments import load_comments
 from pyspark.sql import functions as F
 
 from parley.operators.filters import analysis_rows
@@ -117,3 +119,10 @@ def test_report_tables_have_the_known_schemas(spark, tmp_path):
     for name, table in build_report(df, stage=True).items():
         assert sorted(map(tuple, table.collect())) == sorted(map(tuple, report[name].collect()))
     assert analysis_rows(src.with_body(df)).count() == 60
+
+
+def test_csv_files_with_columns_in_another_order_are_not_misread(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,body,score\n1,first text,3\n")
+    (tmp_path / "b.csv").write_text("body,id,score\nother text,9,4\n")
+    with pytest.raises(Exception, match="header"):
+        load_comments(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], profile="raw").collect()
