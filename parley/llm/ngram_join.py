@@ -77,26 +77,30 @@ def _open_groups(threshold: Fraction):
 
     def opened(rows: pa.Table) -> pa.Table:
         queries, members = rows.filter(rows.column("query")), rows.filter(pc.invert(rows.column("query")))
-        arrays = lambda t, c: [np.frombuffer(x, dtype=np.uint64) for x in t.column(c).to_pylist()]
-        names, sets = members.column("node").to_pylist(), arrays(members, "shingles")
-        union = np.unique(np.concatenate(sets)) if sets else np.zeros(0, dtype=np.uint64)
-        common = lambda a, b: int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+        arrays = lambda t: [np.frombuffer(x, dtype=np.uint64) for x in t.column("shingles").to_pylist()]
+        names, homes, sets = members.column("node").to_pylist(), members.column("component").to_pylist(), arrays(members)
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        # The group's matrix by token: the union, and the members that hold each token of it.
+        tokens = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(tokens, kind="stable")
+        holders = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[order]
+        union, starts, held = np.unique(tokens[order], return_index=True, return_counts=True)
         found = []
-        homes = members.column("component").to_pylist()
-        sides = zip(queries.column("node").to_pylist(), queries.column("component").to_pylist(), arrays(queries, "shingles"))
-        for query, home, s in sides if sets else ():
+        sides = zip(queries.column("node").to_pylist(), queries.column("component").to_pylist(), arrays(queries))
+        for query, home, s in sides if len(union) else ():
+            at = np.minimum(np.searchsorted(union, s), len(union) - 1)
+            at = at[union[at] == s]
             # |Q & S| / |Q | S| is at most |Q & union| / |Q|.
-            if q * common(s, union) < p * len(s):
+            if q * len(at) < p * len(s):
                 continue
+            n = held[at]
+            rows_of = np.arange(n.sum()) + np.repeat(starts[at] - (np.cumsum(n) - n), n)
+            both = np.bincount(holders[rows_of], minlength=len(sets))
             linked = {home}  # what is linked already, one way or another, needs no second link
-            for name, other_home, other in zip(names, homes, sets):
-                small, large = sorted((s, other), key=len)
-                if other_home in linked or q * len(small) < p * len(large):
-                    continue
-                both = common(small, large)
-                if q * both >= p * (len(s) + len(other) - both):
-                    found.append((query, name))
-                    linked.add(other_home)
+            for k in np.flatnonzero(q * both >= p * (len(s) + sizes - both)).tolist():
+                if homes[k] not in linked:
+                    found.append((query, names[k]))
+                    linked.add(homes[k])
         columns = [pa.array(c, pa.int64()) for c in zip(*found)] or [pa.array([], pa.int64())] * 2
         return pa.table(columns, ["a", "b"])
 
