@@ -30,19 +30,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return neighbours.unionByName(smallest.select("node", F.col("_low").alias("low")))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller one, which has none itself: then each component is a star."""
+    ends = edges.select("node", F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("low").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges (a, b)``; a component is its smallest node."""
     shared_dir(edges.sparkSession)
     a, b = F.col("a"), F.col("b")
     edges = edges.filter(a != b).select(F.greatest(a, b).alias("node"), F.least(a, b).alias("low"))
     edges = edges.distinct().checkpoint()
-    state = None
-    while True:
-        # Both numbers together tell whether a step changed anything; neither depends on order.
-        new_state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "low"))).first()
-        if new_state == state:
-            break
-        state = new_state
-        edges = _small_star(_large_star(edges).distinct()).distinct().checkpoint()
+    while not _settled(edges):
+        # Rows that the first half repeats do no harm to the second, whose result is made distinct.
+        edges = _small_star(_large_star(edges)).distinct().checkpoint()
     roots = edges.select(F.col("low").alias("node")).distinct()
     return edges.withColumnRenamed("low", "component").unionByName(roots.withColumn("component", F.col("node")))
