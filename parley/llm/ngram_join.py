@@ -28,7 +28,7 @@ from parley.llm.wordtokens import text_groups
 from parley.operators.components import connected_components
 from parley.operators.skew import salted_join
 from parley.plans.shipping import ship_package
-from parley.plans.storage import shared_dir, written
+from parley.plans.storage import shared_dir, shuffles_dropped, written
 
 GROUP = 128  # members of a group of the matrix
 QUERIES = 1024  # queries that a group takes at once
@@ -135,6 +135,11 @@ def key_components(spread: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
 
     ``spread`` has a row ``(node, key)`` for every key; ``sets_of`` gives ``(node, shingles)`` of wanted nodes.
     """
+    with shuffles_dropped(spread.sparkSession):
+        return _key_components(spread, sets_of, threshold)
+
+
+def _key_components(spread: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: Fraction) -> DataFrame:
     shared = spread.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("_last"), F.count("*").alias("n"))
     shared = written(shared.filter("lead < _last").select("key", "lead", "n"), "shared-keys")
     met = salted_join(spread, shared.select("key", "lead"), "key", shared)
