@@ -19,6 +19,7 @@ from parley.llm.wordtokens import text_groups
 from parley.plans.shipping import ship_package
 
 UNKNOWN = "und"
+PARTS = 16  # the sample of a language is chosen in so many parts first
 
 
 @dataclass(frozen=True)
@@ -163,9 +164,12 @@ def training_windows(docs: DataFrame, options: TrainingOptions, text: Column, la
     gap = F.greatest(F.floor(size / options.windows), F.lit(1))
     starts = F.transform(F.sequence(F.lit(0), F.lit(options.windows - 1)), lambda k: F.least(k * gap, F.greatest(size - options.window, F.lit(0))))
     cut = F.transform(F.array_distinct(starts), lambda s: F.substring(F.col("data"), s.cast("int") + 1, F.lit(options.window)))
-    rows = rows.select("label", "order", cut.alias("cut"))
-    place = F.row_number().over(Window.partitionBy("label").orderBy("order"))
-    chosen = rows.withColumn("place", place).filter(F.col("place") <= options.docs_per_language)
+    rows = rows.select("label", "order", cut.alias("cut"), (F.spark_partition_id() % PARTS).alias("part"))
+    # First among the input partitions of each part, so that the last task of a language gets PARTS samples at most.
+    chosen = rows
+    for keys in (["label", "part"], ["label"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("order"))
+        chosen = chosen.withColumn("place", place).filter(F.col("place") <= options.docs_per_language)
     return chosen.select("label", F.explode("cut").alias("data"))
 
 
