@@ -3,10 +3,15 @@
 Paragraphs are the lines of a text that have enough words. MinHash bands, tuned for the wanted recall at the threshold,
 bring similar paragraphs together; those that collide are compared exactly, and the components of the links
 say what repeats. Of every component the first paragraph stays, the others are to be removed.
+
+What repeats inside otherwise different lines, or across line ends, is found by pieces: of every ``WINDOW`` runs of
+``PIECE`` words that begin one after the other, the one with the smallest hash is a piece. The choice depends on those words
+only, so two texts with ``PIECE + WINDOW - 1`` = 50 equal words in a row have a piece of them in common, wherever they stand.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -17,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.ngram_join import key_components
-from parley.llm.shingles import bands_for, minhash_keys, shingle_set
+from parley.llm.shingles import bands_for, minhash_keys, mix, shingle_set, word_hashes
 from parley.llm.wordtokens import text_groups
 from parley.operators.skew import salted_join
 from parley.plans.shipping import ship_package
@@ -27,6 +32,10 @@ LEAST_WORDS = 20
 SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
 RECALL = 0.99
+PIECE = 25
+WINDOW = 26
+PIECES = "id bigint, piece bigint, start bigint, place bigint, last_place bigint"
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _paragraphs(text: bytes, least: int) -> list[tuple[int, bytes, int]]:
@@ -85,14 +94,60 @@ def _sets(shingle: int, least: int):
     return sets
 
 
+def _piece_starts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's pieces, and the numbers of their first words."""
+    h = word_hashes(text)
+    n = len(h) - PIECE + 1
+    if n < WINDOW:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    runs = np.full(n, PIECE, dtype=np.uint64)
+    for k in range(PIECE):
+        runs = mix(runs * _MULTIPLIER + h[k : n + k])
+    smallest = np.lib.stride_tricks.sliding_window_view(runs, WINDOW).argmin(axis=1)
+    starts = np.unique(smallest + np.arange(len(smallest)))
+    return runs[starts].view(np.int64), starts
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("id")
+        for first, texts in text_groups(batch, "text", 1 << 20):
+            columns = [[np.zeros(0, dtype=np.int64)] for _ in range(5)]
+            for k, text in enumerate(texts):
+                pieces, starts = _piece_starts(text)
+                if not len(pieces):
+                    continue
+                ends = np.cumsum([len(line.split()) for line in text.split(b"\n")])
+                places = [np.searchsorted(ends, at, side="right") for at in (starts, starts + PIECE - 1)]
+                for column, x in zip(columns, (np.full(len(starts), first + k), pieces, starts, *places)):
+                    column.append(x)
+            owners, *rest = (pa.array(np.concatenate(c), pa.int64()) for c in columns)
+            yield pa.RecordBatch.from_arrays([ids.take(owners), *rest], ["id", "piece", "start", "place", "last_place"])
+
+
+def _repeated_pieces(rows: DataFrame, removed: DataFrame) -> DataFrame:
+    """The pieces that another document has too. Those in lines that go anyway, ``removed (id, place)``, do not count."""
+    gone = removed.groupBy("id").agg(F.collect_set("place").alias("gone"))
+    within = F.exists("gone", lambda x: (x >= F.col("place")) & (x <= F.col("last_place")))
+    left = rows.mapInArrow(_pieces, PIECES).join(gone, "id", "left").filter(~F.coalesce(within, F.lit(False)))
+    pieces = written(left.select("id", "piece", "start", "place"), "pieces")
+    keep = F.min(F.struct("id", "start", "place")).alias("keep")
+    clusters = pieces.groupBy("piece").agg(keep, F.max("id").alias("last"), F.count("*").alias("n")).filter("keep.id < last")
+    clusters = written(clusters, "piece-clusters")
+    hit = salted_join(pieces, clusters.select("piece", "keep"), "piece", clusters)
+    per_piece = hit.select("piece", "id").distinct().groupBy("piece").agg(F.count("*").alias("n_documents"))
+    return salted_join(hit, per_piece, "piece", clusters.select("piece", "n"))
+
+
 def repeated_passages(
     docs: DataFrame, least_words: int = LEAST_WORDS, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD,
     recall: float = RECALL, id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
-    """A row for every paragraph that another document has too, exactly or nearly.
+    """A row for every paragraph that another document has too, exactly or nearly, and every piece it has exactly.
 
-    ``(id, paragraph, n_words, keep_id, keep_paragraph, n_documents, removed)``: ``paragraph`` is the number of the line
-    in its text, ``keep_id`` and ``keep_paragraph`` are the first of its component, the only one that is not
+    ``(id, paragraph, n_words, keep_id, keep_paragraph, n_documents, removed, start_word)``: ``paragraph`` is the number of the
+    line in its text, ``start_word`` for a piece the number of its first word in the text (``paragraph`` is the line of that
+    word), else null; pieces in removed paragraphs give no row. ``keep_id`` and ``keep_paragraph`` are the first of its component, the only one that is not
     ``removed``. Words are split at ASCII white space and A-Z lower-cased. Documents without such a paragraph give no row, nor
     do null and empty texts. Rows without an id are left out, as nothing could name them. Repeated rows repeat their
     paragraphs; they count as one document. Other columns are not read.
@@ -127,7 +182,7 @@ def repeated_passages(
     per_document = hit.select("c", "id").distinct().groupBy("c").agg(F.count("*").alias("n_documents"))
     removed = (F.col("id") != F.col("keep.id")) | (F.col("place") != F.col("keep.place"))
     counts = hit.groupBy("c").agg(F.count("*").alias("n"))
-    return salted_join(hit, per_document, "c", counts).select(
+    lines = salted_join(hit, per_document, "c", counts).select(
         F.col("id").alias(id_column),
         F.col("place").alias("paragraph"),
         "n_words",
@@ -135,13 +190,52 @@ def repeated_passages(
         F.col("keep.place").alias("keep_paragraph"),
         "n_documents",
         removed.alias("removed"),
+        F.lit(None).cast("bigint").alias("start_word"),
     )
+    lines = written(lines, "passage-lines")
+    pieces = _repeated_pieces(rows, lines.filter("removed").select(F.col(id_column).alias("id"), F.col("paragraph").alias("place")))
+    return lines.unionByName(
+        pieces.select(
+            F.col("id").alias(id_column),
+            F.col("place").alias("paragraph"),
+            F.lit(PIECE).cast("bigint").alias("n_words"),
+            F.col("keep.id").alias("keep_id"),
+            F.col("keep.place").alias("keep_paragraph"),
+            "n_documents",
+            ((F.col("id") != F.col("keep.id")) | (F.col("start") != F.col("keep.start"))).alias("removed"),
+            F.col("start").alias("start_word"),
+        )
+    )
+
+
+def _cut(text: str | None, places: list | None, starts: list | None) -> str | None:
+    if text is None or not (places or starts):
+        return text
+    data, gone = text.encode(), set()
+    for start in starts or ():
+        gone.update(range(start, start + PIECE))
+    lines, words = [], 0
+    for place, line in enumerate(data.split(b"\n")):
+        spans = [m.span() for m in re.finditer(rb"[^ \t\n\v\f\r]+", line)]
+        cut = [k for k in range(len(spans)) if words + k in gone]
+        words += len(spans)
+        if place in (places or ()) or (cut and len(cut) == len(spans)):
+            continue
+        if cut:  # a word goes with the space behind it
+            nexts = [x for x, _ in spans[1:]] + [len(line)]
+            drop = set(cut)
+            line = line[: spans[0][0]] + b"".join(line[spans[k][0] : nexts[k]] for k in range(len(spans)) if k not in drop)
+        lines.append(line)
+    return b"\n".join(lines).decode()
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` without the paragraphs that ``passages`` says to remove."""
-    cut = passages.filter("removed").groupBy(F.col(id_column).alias("_cut_id")).agg(F.collect_set("paragraph").alias("_cut"))
+    """``docs`` without the paragraphs and pieces that ``passages`` says to remove."""
+    ship_package(docs.sparkSession)
+    whole = F.when(F.col("start_word").isNull(), F.col("paragraph"))
+    cut = passages.filter("removed").groupBy(F.col(id_column).alias("_cut_id"))
+    cut = cut.agg(F.collect_set(whole).alias("_places"), F.collect_set("start_word").alias("_starts"))
     both = docs.join(cut, F.col(id_column) == F.col("_cut_id"), "left")
-    lines = F.filter(F.split(text_column, "\n"), lambda x, i: ~F.array_contains("_cut", i.cast("bigint")))
-    text = F.when(F.col("_cut").isNull(), F.col(text_column)).otherwise(F.array_join(lines, "\n"))
-    return both.withColumn(text_column, text).select(*docs.columns)
+    text = F.udf(_cut, "string")(text_column, "_places", "_starts")
+    kept = F.when(F.col("_cut_id").isNull(), F.col(text_column)).otherwise(text)
+    return both.withColumn(text_column, kept).select(*docs.columns)

@@ -152,6 +152,28 @@ def test_passages_across_documents(spark):
     assert {r.doc_id: r.text for r in left.collect()}[3].endswith("\nx")
 
 
+def test_passages_inside_longer_lines(spark):
+    rng = np.random.default_rng(2)
+    line = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 50000, n))
+    runs = [line(50) for _ in range(30)]
+    rows = [(k, f"{line(300 + k)} {run} {line(200)}") for k, run in enumerate(runs)]
+    # Elsewhere in another line, and wrapped at other places.
+    wrap = lambda t: "\n".join(" ".join(t.split()[i : i + 9]) for i in range(0, 50, 9))
+    rows += [(100 + k, f"{line(90)} {run if k % 2 else wrap(run)} {line(400 - k)}") for k, run in enumerate(runs)]
+    rows += [(200, line(700)), (201, None), (202, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    passages_found = passages.repeated_passages(docs)
+    found = passages_found.collect()
+    assert {(r.doc_id, r.keep_id) for r in found if r.removed} == {(100 + k, k) for k in range(30)}
+    texts = dict(rows)
+    assert all(" ".join(texts[r.doc_id].split()[r.start_word :][:25]) in runs[r.keep_id] for r in found)
+    left = {r.doc_id: r.text for r in passages.without_passages(docs, passages_found).collect()}
+    assert all(left[i] == t for i, t in texts.items() if not 100 <= i < 130)
+    for i in range(100, 130):
+        n = {r.start_word + j for r in found if r.doc_id == i for j in range(25)}
+        assert left[i].split() == [w for j, w in enumerate(texts[i].split()) if j not in n]
+
+
 def test_url_filters(spark):
     changes = [("domain", "bad.org", "add", "2024-01-05"), ("domain", "bad.org", "remove", "2024-03-01"), ("prefix", "a.com/x", "add", "2024-01-01")]
     captures = [
