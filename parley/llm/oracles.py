@@ -171,6 +171,77 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 FROM r"""
 
 
+def _codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    square = "list_sum(list_transform(list_zip(m.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+near{k} AS MATERIALIZED (
+  SELECT m.vec_id, m.p, arg_min(b.e, CAST({square} AS HUGEINT) * {entries} + b.e) AS e, min(CAST({square} AS BIGINT)) AS d
+  FROM members m JOIN book{k} b ON m.p = b.p GROUP BY m.vec_id, m.p)""")
+        if k < rounds:
+            steps.append(f"""
+sums{k} AS (
+  SELECT p, e, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS c
+  FROM (SELECT n.p, n.e, unnest(m.v) AS x, generate_subscripts(m.v, 1) AS i
+        FROM near{k} n JOIN members m ON n.vec_id = m.vec_id AND n.p = m.p) GROUP BY p, e, i),
+moved{k} AS (SELECT p, e, list((s - ((s % c) + c) % c) // c ORDER BY i) AS v FROM sums{k} GROUP BY p, e),
+book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.v, b.v) AS v FROM book{k} b LEFT JOIN moved{k} n ON b.p = n.p AND b.e = n.e)""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+positions AS (SELECT unnest(range(0, {parts})) AS p),
+members AS MATERIALIZED (
+  SELECT vec_id, label, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS v FROM kept CROSS JOIN positions),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < {entries}),
+book0 AS MATERIALIZED (SELECT m.p, f.e, m.v FROM members m JOIN firsts f ON m.vec_id = f.vec_id),{",".join(steps)},
+whole AS (
+  SELECT vec_id, string_agg(lower(printf('%02x', CAST(e AS INT))), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY vec_id),
+digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS h FROM book{rounds})
+SELECT k.vec_id, w.code, w.error, CAST(sum(w.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM kept k JOIN whole w ON k.vec_id = w.vec_id CROSS JOIN digest"""
+
+
+def _lines() -> str:
+    return f"""
+WITH d AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+           FROM documents),
+keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS k FROM d),
+shared AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+marked AS (SELECT keyed.*, shared.k IS NOT NULL AS gone FROM keyed LEFT JOIN shared ON keyed.k = shared.k)
+SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+
+def _phrases() -> str:
+    return f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+starts AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w CROSS JOIN (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, w[i : i + m - 1] AS g, count(*) AS a FROM starts GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT * FROM f WHERE len(g) > 1),
+cuts AS (
+  SELECT c.lang, c.g, c.a, x.k, p.a AS l, q.a AS r, t.n, (1000::HUGEINT * c.a * t.n) // (p.a::HUGEINT * q.a) AS score
+  FROM c JOIN (SELECT unnest(range(1, 5)) AS k) x ON x.k < len(c.g)
+  JOIN f p ON p.lang = c.lang AND p.g = c.g[1 : x.k] JOIN f q ON q.lang = c.lang AND q.g = c.g[x.k + 1 :]
+  JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, g[i : i + m - 1] AS g, max(a) AS a
+  FROM (SELECT lang, g, a, m, unnest(range(1, len(g) - m + 2)) AS i FROM c JOIN (SELECT unnest(range(2, 5)) AS m) ON m < len(g)) GROUP BY ALL),
+left_over AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM lowest b LEFT JOIN inside s ON s.lang = b.lang AND s.g = b.g
+              WHERE s.a IS NULL OR s.a < b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM left_over QUALIFY rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_lm_scores": _lm(),
@@ -179,4 +250,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_ngram_join": _join(),
         "op7_quality_rules": _quality(),
         "op10_mixing": _mixing(),
+        "op11_vector_codes": _codes(),
+        "op12_line_dedup": _lines(),
+        "op13_collocations": _phrases(),
     }

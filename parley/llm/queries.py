@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.llm.collocations import collocations
 from parley.llm.exact_dedup import exact_dedup, normal_form
 from parley.llm.langid import TrainingOptions, predict_languages, trained_network, training_windows
+from parley.llm.line_dedup import drop_shared_lines
 from parley.llm.lm import lm_scores
 from parley.llm.mixing import mix_plan
 from parley.llm.ngram_join import ngram_components
@@ -16,6 +18,7 @@ from parley.llm.passages import repeated_passages
 from parley.llm.quality import quality_rules
 from parley.llm.token_files import read_documents, write_token_files
 from parley.llm.urls import url_host, url_verdicts
+from parley.llm.vector_codes import codebooks_digest, vector_codes, with_label_errors
 from parley.plans.tables import table
 
 
@@ -102,3 +105,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mix_plan(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
     return planned.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.schema("vec_id bigint, embedding array<float>, label int").parquet(f"{sf_dir}/embeddings.parquet")
+    found = vector_codes(vectors)
+    codes = with_label_errors(found.codes).select("vec_id", "code", "error", "label_error")
+    return codes.withColumn("codebooks_sha256", F.lit(codebooks_digest(found.codebooks)))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_shared_lines(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))

@@ -23,6 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         q.op8_substring_dedup,
         q.op9_language_id,
         q.op10_mixing,
+        q.op11_vector_codes,
+        q.op12_line_dedup,
+        q.op13_collocations,
     )
     return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
