@@ -221,11 +221,19 @@ def _phrases() -> str:
     return f"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
-    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
-w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
-totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
-starts AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w CROSS JOIN (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m),
-f AS (SELECT lang, w[i : i + m - 1] AS g, count(*) AS a FROM starts GROUP BY ALL HAVING count(*) >= 100),
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+numbered AS (SELECT lang, row_number() OVER () AS p, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+words AS (SELECT lang, p, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM numbered),
+totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+runs AS (
+  SELECT lang, w1, lead(w1, 1) OVER s AS w2, lead(w1, 2) OVER s AS w3, lead(w1, 3) OVER s AS w4, lead(w1, 4) OVER s AS w5
+  FROM words WINDOW s AS (PARTITION BY p ORDER BY i)),
+f AS (
+  SELECT lang, [w1] AS g, count(*) AS a FROM runs GROUP BY lang, w1 HAVING count(*) >= 100
+  UNION ALL SELECT lang, [w1, w2], count(*) FROM runs WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= 100
+  UNION ALL SELECT lang, [w1, w2, w3], count(*) FROM runs WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 100
+  UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) FROM runs WHERE w4 IS NOT NULL GROUP BY lang, w1, w2, w3, w4 HAVING count(*) >= 100
+  UNION ALL SELECT lang, [w1, w2, w3, w4, w5], count(*) FROM runs WHERE w5 IS NOT NULL GROUP BY lang, w1, w2, w3, w4, w5 HAVING count(*) >= 100),
 c AS (SELECT * FROM f WHERE len(g) > 1),
 cuts AS (
   SELECT c.lang, c.g, c.a, x.k, p.a AS l, q.a AS r, t.n, (1000::HUGEINT * c.a * t.n) // (p.a::HUGEINT * q.a) AS score
