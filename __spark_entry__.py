@@ -23,14 +23,13 @@ from parley.plans.storage import scratch_path  # noqa: E402
 from parley.plans.tables import comments, stream_table, table  # noqa: E402
 from parley.sources.comments import load_comments, normalize_columns, select_comments, typed  # noqa: E402
 from parley.sources.sinks import write_table  # noqa: E402
+from parley.streaming.bursts import BURSTS, stream_bursts  # noqa: E402
 from parley.streaming.windows import closed_window_counts, with_open_windows  # noqa: E402
 
 try:
     import parley.llm.registry as llm  # noqa: E402
-except ModuleNotFoundError as error:
-    # The subpackage may be absent; anything else that is missing is an error.
-    if not (error.name or "").startswith("parley.llm"):
-        raise
+except ImportError:
+    # The subpackage, the pipeline or something that they need is absent: the other queries do without.
     llm = None
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,6 +146,16 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dated(counts).withColumnRenamed("key", "event_type")
 
 
+def streamed_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bursts of ``burst_events`` whose windows the stream has closed, found by the stream itself."""
+    raw, stream = table(spark, sf_dir, "events"), stream_table(spark, sf_dir, "events")
+    path = scratch_path(spark, "stream-bursts")
+    origin = _events(raw).agg(F.min("timestamp").alias("first")).select(F.window("first", "24 hours").start).first()[0]
+    stream_bursts(_events(stream), f"{path}/bursts", f"{path}/state", F.col("event_type"), origin, threshold=1.0)
+    found = spark.read.schema(BURSTS).parquet(f"{path}/bursts")
+    return _rounded(_dated(found).withColumnRenamed("key", "event_type"), "baseline", "ratio")
+
+
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(neardup.near_dup_pairs(comments(spark, sf_dir, "id", "body")), "jaccard")
 
@@ -260,9 +269,11 @@ def queries() -> dict[str, Query]:
     q["burst_words"] = burst_words
     q["burst_events"] = burst_events
     q["stream_window_counts"] = stream_window_counts
+    q["stream_bursts"] = streamed_bursts
     # Near duplicates and clusters
     q["near_dup_candidates"] = lambda s, d: neardup.near_dup_candidates(comments(s, d, "id", "body"))
     q["near_dup_pairs"] = near_dup_pairs
+    q["near_dup_members"] = lambda s, d: neardup.near_dup_members(comments(s, d, "id", "body"))
     q["folded_comments"] = folded
     q["folded_copies_first"] = _folded_copies("first")
     q["folded_copies_longest"] = _folded_copies("longest")

@@ -309,6 +309,9 @@ def oracle_sql() -> dict[str, str]:
       SELECT {DAY} AS window_start, word, n, round(baseline, 6) AS baseline, round(n / baseline, 6) AS ratio FROM bursts"""
     q["burst_events"] = f"""WITH {bursts("events", "event_type", 1.0)}
       SELECT {DAY} AS window_start, event_type, n, round(baseline, 6) AS baseline, round(n / baseline, 6) AS ratio FROM bursts"""
+    # The stream closes a window when a row an hour past its end was seen.
+    q["stream_bursts"] = f"""{q["burst_events"]}
+      WHERE window_start + INTERVAL '25 hours' <= (SELECT max(ts) FROM events)"""
     q["stream_window_counts"] = f"""WITH days AS (SELECT time_bucket(INTERVAL '24 hours', ts) AS window_start,
       event_type, count(*) AS n FROM events GROUP BY ALL) SELECT {DAY} AS window_start, event_type, n FROM days"""
     # Copies
@@ -318,4 +321,25 @@ def oracle_sql() -> dict[str, str]:
           grouped AS (SELECT *, CASE WHEN c = '' THEN CAST(id AS VARCHAR) ELSE '#' || c END AS g FROM cleaned)
           SELECT id, score, count(*) OVER (PARTITION BY g) AS group_size FROM grouped
           QUALIFY row_number() OVER (PARTITION BY g ORDER BY {order}) = 1"""
+    # Near duplicates: all pairs of different clean texts by their sets of 5-character shingles
+    texts = f"""{COMMENTS},
+      cleaned AS MATERIALIZED (SELECT id, subreddit, {clean("body")} AS c FROM comments),
+      texts AS MATERIALIZED (SELECT c, min(id) AS rep FROM cleaned WHERE c <> '' GROUP BY c)"""
+    links = f"""{texts},
+      grams AS MATERIALIZED (SELECT DISTINCT rep, substr(c, i, 5) AS g
+        FROM (SELECT rep, c, unnest(range(1, greatest(length(c) - 4, 1) + 1)) AS i FROM texts)),
+      sizes AS (SELECT rep, count(*) AS n FROM grams GROUP BY rep),
+      common AS (SELECT x.rep AS a, y.rep AS b, count(*) AS n FROM grams x JOIN grams y ON x.g = y.g AND x.rep < y.rep GROUP BY ALL),
+      links AS MATERIALIZED (SELECT a, b, common.n / (p.n + q.n - common.n) AS jaccard
+        FROM common JOIN sizes p ON a = p.rep JOIN sizes q ON b = q.rep WHERE 2 * common.n >= p.n + q.n - common.n)"""
+    q["near_dup_pairs"] = f"WITH {links} SELECT a AS id_a, b AS id_b, round(jaccard, 6) AS jaccard FROM links"
+    q["near_dup_members"] = f"WITH {texts} SELECT id, rep FROM cleaned JOIN texts USING (c)"
+    q["folded_comments"] = f"""WITH RECURSIVE {links},
+      edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+      reached AS (SELECT rep AS node, rep AS low FROM texts UNION SELECT e.b, r.low FROM reached r JOIN edges e ON e.a = r.node),
+      parts AS (SELECT node, min(low) AS part FROM reached GROUP BY node),
+      grouped AS (SELECT id, subreddit, coalesce(part, id) AS g
+        FROM cleaned LEFT JOIN texts USING (c) LEFT JOIN parts ON node = rep)
+      SELECT id, subreddit, count(*) OVER (PARTITION BY g) AS group_size FROM grouped
+      QUALIFY row_number() OVER (PARTITION BY g ORDER BY id) = 1"""
     return q
