@@ -1,9 +1,11 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from parley.operators import trends
+from parley.streaming.bursts import BURSTS, stream_bursts
 from parley.streaming.windows import closed_window_counts, with_open_windows
 
 
@@ -65,3 +67,38 @@ def test_no_window_closed_yet(spark, tmp_path):
     batch = spark.createDataFrame([(day(0), "a")], schema)
     closed = spark.createDataFrame([], "window_start timestamp, key string, n bigint")
     assert [tuple(r) for r in with_open_windows(closed, batch, F.col("key")).collect()] == [(day(0, 0), "a", 1)]
+
+
+def test_streamed_bursts_equal_batch_over_restarts(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema, rng, key = "timestamp timestamp, key string", random.Random(2), F.col("key")
+    late = []
+    for n in range(8):
+        rows = [(day(n, h), rng.choice("abcde" if n % 3 else "ab")) for h in range(24) for _ in range(rng.randrange(4))]
+        rows += [(day(n, 3), None)] * (n % 4) + [(day(n, 5), "new")] * (9 if n > 4 else 0)
+        if n == 5:
+            # Two days behind: their windows are closed, so a stream has to leave these out.
+            late = [(day(2, 4), "a")] * 50
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(source)
+        if n == 5:
+            spark.createDataFrame(late, schema).write.mode("append").parquet(source + "-late")
+            spark.read.parquet(source + "-late").write.mode("append").parquet(source)
+        if n in (0, 1, 3, 5, 6, 7):
+            # Every call is a restart: a new query goes on from the state that the last one left.
+            stream = spark.readStream.schema(schema).parquet(source)
+            stream_bursts(stream, out, state, key, day(0, 0), threshold=1.2)
+    spark.createDataFrame([(day(9, 12), "end")], schema).write.mode("append").parquet(source)
+    stream_bursts(spark.readStream.schema(schema).parquet(source), out, state, key, day(0, 0), threshold=1.2)
+    on_time = spark.read.schema(schema).parquet(source).exceptAll(spark.createDataFrame(late, schema))
+    want = trends.bursts(trends.window_counts(on_time, key), threshold=1.2).filter(F.col("window_start") < F.lit(day(9, 0)))
+    order = lambda rows: sorted((r["window_start"], str(r["key"]), r["n"], round(r["baseline"], 9), round(r["ratio"], 9)) for r in rows)
+    got = spark.read.schema(BURSTS).parquet(out).collect()
+    assert order(got) == order(want.collect()) and len({r["key"] for r in got}) > 3
+
+
+def test_no_burst_before_a_window_closes(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "timestamp timestamp, key string"
+    spark.createDataFrame([(day(0), "a"), (day(1), "a"), (day(1), "a")], schema).write.parquet(source)
+    stream_bursts(spark.readStream.schema(schema).parquet(source), out, state, F.col("key"), day(0, 0), threshold=1.0)
+    assert spark.read.schema(BURSTS).parquet(out).count() == 0
