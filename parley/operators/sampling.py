@@ -1,10 +1,8 @@
-"""Exact, repeatable samples that never rank the whole table in one place.
+"""Exact, repeatable samples in two scans, whatever their size.
 
-The ``n`` rows with the smallest key are found by narrowing the key digit by digit: a histogram of
-the next digit, among the rows that share the digits found so far, tells which bucket holds the
-n-th row. Each step is one narrow aggregation whose answer is one row per stratum, so it can always
-be broadcast. The last bucket is ranked to get the exact threshold, and the sample itself is then a
-plain filter on the input: the comments are never shuffled, whatever their number.
+The first scan reads ids only and finds the last row of the sample, the second filters the comments by it: they are never
+shuffled or ranked. A random sample takes the rows with the smallest hashes. Hashes are uniform, so a bound on them that a
+little more than ``n`` rows pass follows from the number of rows, and only those few are put in order.
 """
 
 from __future__ import annotations
@@ -14,99 +12,53 @@ from pyspark.sql import functions as F
 
 from parley.operators.filters import is_controversial
 
+HASH_DIGITS = 13  # hex digits of a hash that are compared as a number, exact in a double
+SPREAD = 8.0  # standard deviations that the bound lies above n: missed with a probability below 1e-15
+
 
 def hash_key(seed: int, id_column: str = "id") -> Column:
     """Pseudo-random sort key: the same rows win in every engine and on every run."""
     return F.md5(F.concat(F.col(id_column).cast("string"), F.lit(str(seed))))
 
 
-def hash_digits(key: Column) -> list[Column]:
-    """Leading 20 bits of an MD5 key: about a millionth of the rows share them."""
-    return [F.conv(F.substr(key, F.lit(1), F.lit(5)), 16, 10).cast("int")]
-
-
-def long_digits(key: Column) -> list[Column]:
-    """A bigint as four 16-bit digits, highest first, so that no value range is a hot bucket."""
-    low_bits = F.lit(0xFFFF).cast("bigint")
-    return [F.shiftright(key, 48).cast("int")] + [
-        F.shiftright(key, shift).bitwiseAND(low_bits).cast("int") for shift in (32, 16, 0)
-    ]
-
-
-def _threshold(
-    df: DataFrame, n: int, key: Column, digits: list[Column], stratum: Column, id_column: str
-) -> DataFrame:
-    """``(_stratum, _last_key, _last_id)`` of the n-th row of every stratum that has one."""
-    names = [f"_digit{i}" for i in range(len(digits))]
-    narrow = df.select(
-        stratum.alias("_stratum"),
-        *[digit.alias(name) for digit, name in zip(digits, names)],
-        key.alias("_key"),
-        F.col(id_column).alias("_id"),
-    )
-    found = ["_stratum"]
-    remaining, wanted = narrow, F.lit(n).cast("bigint")
-    for name in names:
-        found = found + [name]
-        histogram = remaining.groupBy(*found, wanted.alias("_wanted")).agg(F.count("*").alias("_n"))
-        # One row per value of a single digit and stratum.
-        up_to = Window.partitionBy("_stratum").orderBy(name)
-        last_bucket = (
-            histogram.withColumn("_reached", F.sum("_n").over(up_to))
-            .filter((F.col("_reached") >= F.col("_wanted")) & (F.col("_reached") - F.col("_n") < F.col("_wanted")))
-            .select(*found, (F.col("_wanted") - F.col("_reached") + F.col("_n")).alias("_wanted"))
-        )
-        # One row per stratum.
-        remaining, wanted = narrow.join(F.broadcast(last_bucket), found), F.col("_wanted")
-    by_key = Window.partitionBy("_stratum").orderBy("_key", "_id")
-    return (
-        remaining.withColumn("_rank", F.row_number().over(by_key))
-        .filter(F.col("_rank") == F.col("_wanted"))
-        .select("_stratum", F.col("_key").alias("_last_key"), F.col("_id").alias("_last_id"))
-    )
-
+def _fraction(key: Column) -> Column:
+    """The hash as a number from 0 to 1."""
+    return F.conv(F.substr(key, F.lit(1), F.lit(HASH_DIGITS)), 16, 10).cast("double") / float(16**HASH_DIGITS)
 
-def _up_to(last_key: Column, last_id: Column, key: Column, id_column: str) -> Column:
-    """Rows up to the threshold; all of them where there is none."""
-    return last_id.isNull() | (key < last_key) | ((key == last_key) & (F.col(id_column) <= last_id))
 
+def _bound(n: int, rows: Column) -> Column:
+    """Fraction that the hashes of ``n`` rows stay below; above 1 where there are hardly more rows."""
+    return (F.lit(float(n)) + SPREAD * n**0.5 + SPREAD * SPREAD) / rows
 
-def smallest(df: DataFrame, n: int, key: Column, digits: list[Column], id_column: str = "id") -> DataFrame:
-    """The ``n`` rows with the smallest ``(key, id)``.
 
-    The digits, compared in order, must sort like the key. Ids must be unique.
-    """
-    last = _threshold(df, n, key, digits, F.lit(0), id_column)
-    last_key, last_id = last.select("_last_key").scalar(), last.select("_last_id").scalar()
-    return df.filter(_up_to(last_key, last_id, key, id_column))
-
-
-def smallest_per_stratum(
-    df: DataFrame,
-    n: int,
-    key: Column,
-    digits: list[Column],
-    stratum: Column,
-    id_column: str = "id",
-    keys: DataFrame | None = None,
+def smallest_hashes(
+    df: DataFrame, n: int, seed: int, stratum: Column, id_column: str = "id", keys: DataFrame | None = None
 ) -> DataFrame:
-    """The same for every stratum; ``stratum`` should take a handful of values.
+    """The ``n`` rows of every stratum with the smallest hashes of their ids, all rows of a smaller stratum.
 
-    ``keys`` may be a narrow table of the same rows to find the thresholds from.
+    Ids must be unique; should so many be equal that the bound is missed, the query fails rather than return fewer rows.
+    ``stratum`` takes a handful of values. ``keys`` may be a narrow table of the same rows for the first scan.
     """
-    last = _threshold(df if keys is None else keys, n, key, digits, stratum, id_column)
-    return (
-        df.withColumn("_stratum", stratum)
-        .join(F.broadcast(last), "_stratum", "left")
-        .filter(_up_to(F.col("_last_key"), F.col("_last_id"), key, id_column))
-        .drop("_stratum", "_last_key", "_last_id")
+    source = df if keys is None else keys
+    key = hash_key(seed, id_column)
+    narrow = source.select(stratum.alias("_stratum"), key.alias("_key"), F.col(id_column).alias("_id"))
+    # One row per stratum.
+    sizes = narrow.groupBy("_stratum").agg(F.count("*").alias("_rows"))
+    few = narrow.join(F.broadcast(sizes), "_stratum").filter(_fraction(F.col("_key")) <= _bound(n, F.col("_rows")))
+    in_order = Window.partitionBy("_stratum").orderBy("_key", "_id")
+    first = few.withColumn("_rank", F.row_number().over(in_order)).filter(F.col("_rank") <= n)
+    last = first.groupBy("_stratum").agg(
+        F.max(F.struct("_key", "_id")).alias("_last"), F.count("*").alias("_found"), F.any_value("_rows").alias("_rows")
     )
+    missed = F.raise_error(F.lit("too many equal ids for a sample by their hashes"))
+    last = last.select("_stratum", F.when(F.col("_found") < F.least(F.lit(n), "_rows"), missed).otherwise(F.col("_last")).alias("_last"))
+    chosen = F.struct(key.alias("_key"), F.col(id_column).alias("_id")) <= F.col("_last")
+    return df.withColumn("_stratum", stratum).join(F.broadcast(last), "_stratum").filter(chosen).drop("_stratum", "_last")
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` random comments (all of them if there are fewer)."""
-    key = hash_key(seed)
-    return smallest(df, n, key, hash_digits(key))
+    return smallest_hashes(df, n, seed, F.lit(0))
 
 
 def stratified_sample(
@@ -116,10 +68,15 @@ def stratified_sample(
 
     ``keys`` may be a table of the same comments with ``id`` and ``controversiality`` only.
     """
-    key = hash_key(seed)
-    return smallest_per_stratum(df, n, key, hash_digits(key), is_controversial(), keys=keys)
+    return smallest_hashes(df, n, seed, is_controversial(), keys=keys)
 
 
 def first_n(df: DataFrame, n: int) -> DataFrame:
-    """The ``n`` comments with the lowest ids."""
-    return smallest(df, n, F.col("id"), long_digits(F.col("id")))
+    """The ``n`` comments with the lowest ids (all of them if there are fewer).
+
+    Spark's own top-k over the ids alone finds the last of them; a task passes on ``n`` ids at most.
+    """
+    if n <= 0:
+        return df.limit(0)
+    last = df.select("id").orderBy("id").limit(n).agg(F.max("id")).scalar()
+    return df.filter(F.col("id") <= last)
