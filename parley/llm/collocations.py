@@ -28,10 +28,11 @@ from parley.plans.storage import shared_dir, written
 
 TRIE_PHRASES = 1 << 20  # phrases of one trie
 FILTER_BITS = 24  # the table of frequent words has 2^24 bits, 2 MB
-CHUNK_BYTES = 1 << 22  # of text that is in words at a time
+CHUNK_BYTES = 1 << 21  # of text that is in words at a time
 DENSE_SLOTS = 1 << 20  # so many slots are counted as a plain vector
-HELD_COUNTS = 1 << 22  # counts that a task holds before it sends them on
-END = b"."
+WINDOW = 1 << 19  # words that NumPy looks at in one step
+HELD_COUNTS = 1 << 20  # counts that a task holds before it sends them on
+END, TEXT_END = b".", b"!"
 #: Capitals become small, marks and line ends become the end of a piece, a tab becomes a space; other bytes stay.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\x0b\f\r" else 32 if c == 9 else c for c in range(256))
 UNKNOWN = "und"
@@ -59,25 +60,52 @@ def _slices(text: bytes) -> Iterator[bytes]:
 
 
 class _Lexicon:
-    """The different words of a chunk: their places, hashes and counts. A hash is 0 for the end of a piece only."""
+    """The different words of a chunk: their places, hashes and counts. The ends of pieces and texts have hash 0."""
 
     def __init__(self, lang: str, seed: int):
         self.seed = xxhash.xxh3_64_intdigest(lang.encode(), seed)
-        self.places: dict[bytes, int] = {END: 0}
-        self.hashes = [0]
-        self.counts = np.zeros(1, dtype=np.int64)
-
-    def numbers(self, text: bytes) -> np.ndarray:
-        words = text.replace(END, b" . ").split(b" ")
-        places = self.places
-        at = np.fromiter((places.setdefault(w, len(places)) for w in words if w), dtype=np.int64)
-        if len(places) > len(self.hashes):
-            new = list(places)[len(self.hashes) :]
-            self.hashes += [xxhash.xxh3_64_intdigest(w, self.seed) or 1 for w in new]
-        counts = np.bincount(at, minlength=len(places))
+        self.places: dict[bytes, int] = {END: 0, TEXT_END: 1}
+        self.hashes = np.zeros(2, dtype=np.int64)
+        self.counts = np.zeros(2, dtype=np.int64)
+
+    def numbers(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the words in order, and where texts end among them."""
+        words = text.replace(END, b" . ").split()
+        new = list(set(words) - self.places.keys())
+        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, self.seed) or 1 for w in new), dtype=np.uint64, count=len(new))
+        self.hashes = np.concatenate([self.hashes, hashes.view(np.int64)])
+        at = np.fromiter(map(self.places.__getitem__, words), dtype=np.int64, count=len(words))
+        counts = np.bincount(at, minlength=len(self.places))
         counts[: len(self.counts)] += self.counts
         self.counts = counts
-        return np.array(self.hashes, dtype=np.uint64)[at].view(np.int64)
+        return self.hashes[at], np.flatnonzero(at == 1)
+
+    def lists(self, texts: list[bytes]) -> pa.Array:
+        """The words of each text. A long text is read in slices, the others together."""
+        if len(texts) == 1:
+            values = np.concatenate([self.numbers(part)[0] for part in _slices(texts[0])])
+            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
+        values, ends = self.numbers(b"".join(x for text in texts for x in (text, b" ", TEXT_END, b" ")))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends + 1]), pa.int32()), pa.array(values))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """Plain texts of a language, about ``CHUNK_BYTES`` together; a longer text comes alone."""
+    for batch in batches:
+        held: dict[str, list[bytes]] = {}
+        sizes: dict[str, int] = {}
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.large_binary())):
+            plain = (text.as_py() or b"").translate(PLAIN)
+            if len(plain) > CHUNK_BYTES:
+                yield lang, [plain]
+                continue
+            if sizes.get(lang, 0) + len(plain) > CHUNK_BYTES:
+                yield lang, held.pop(lang)
+                sizes[lang] = 0
+            held.setdefault(lang, []).append(plain)
+            sizes[lang] = sizes.get(lang, 0) + len(plain)
+        yield from held.items()
 
 
 def _numbered(seed: int):
@@ -91,25 +119,20 @@ def _numbered(seed: int):
 
     def counted(lexicons: dict[str, _Lexicon]) -> Iterator[pa.RecordBatch]:
         for lang, lexicon in lexicons.items():
-            words = [w.decode() for w in lexicon.places][1:]
-            hashes = np.array(lexicon.hashes[1:], dtype=np.uint64).view(np.int64)
-            yield rows({"lang": [lang] * len(words), "word": words, "hash": hashes, "n": lexicon.counts[1:]})
+            words = [w.decode() for w in lexicon.places][2:]
+            yield rows({"lang": [lang] * len(words), "word": words, "hash": lexicon.hashes[2:], "n": lexicon.counts[2:]})
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicons: dict[str, _Lexicon] = {}
         size = 0
-        for batch in batches:
-            for lang, text in zip(batch.column("lang"), batch.column("text").cast(pa.large_binary())):
-                lang = lang.as_py()
-                plain = (text.as_py() or b"").translate(PLAIN)
-                if lang not in lexicons:
-                    lexicons[lang] = _Lexicon(lang, seed)
-                found = [lexicons[lang].numbers(part) for part in _slices(plain)]
-                yield rows({"words": [np.concatenate(found)]})
-                size += len(plain)
-                if size > 16 * CHUNK_BYTES:
-                    yield from counted(lexicons)
-                    lexicons, size = {}, 0
+        for lang, texts in _chunks(batches):
+            if lang not in lexicons:
+                lexicons[lang] = _Lexicon(lang, seed)
+            yield rows({"words": lexicons[lang].lists(texts)})
+            size += sum(map(len, texts))
+            if size > 8 * CHUNK_BYTES:
+                yield from counted(lexicons)
+                lexicons, size = {}, 0
         yield from counted(lexicons)
 
     return numbered
@@ -138,6 +161,13 @@ def _flat(batch: pa.RecordBatch) -> np.ndarray:
     return np.insert(values, np.concatenate([[0], ends[:-1]]) if len(ends) else [], 0)
 
 
+def _windows(batch: pa.RecordBatch, span: int) -> Iterator[np.ndarray]:
+    """The same in parts of bounded size; every run of ``span`` words is whole in exactly one of them."""
+    words = _flat(batch)
+    for start in range(0, len(words), WINDOW):
+        yield words[start : start + WINDOW + span - 1]
+
+
 class _Counts:
     """Counts by key, of which few are held at a time."""
 
@@ -183,8 +213,7 @@ def _pairs(frequent):
     """Adjacent words that both pass the filter."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = _flat(batch)
+        for words in (w for batch in batches for w in _windows(batch, 2)):
             good = frequent.value[words & ((1 << FILTER_BITS) - 1)] & (words != 0)
             at = np.flatnonzero(good[:-1] & good[1:])
             known, places = np.unique(words[np.concatenate([at, at + 1])], return_inverse=True)
@@ -329,8 +358,8 @@ def _longer(trie):
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Counts()
-        for batch in batches:
-            if held.add(*trie.value.counted(_flat(batch))):
+        for words in (w for batch in batches for w in _windows(batch, trie.value.length + 1)):
+            if held.add(*trie.value.counted(words)):
                 slots, counts = held.taken()
                 yield _phrase_rows(trie.value.candidates(slots), counts)
         slots, counts = held.taken()
