@@ -2,6 +2,7 @@
 
 Where a vocabulary drops white space and lets no token span it, a text's ids are those of its words
 in order. So the tokenizers library encodes the new words of a batch, and NumPy puts the ids of known words together.
+A vocabulary that does not work that way, as ``PROBES`` tell, has its texts encoded whole.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 MOST_WORDS = 800_000  # remembered per worker: bounds memory, not results
 BATCH_BYTES = 4 << 20
 PUNCTUATION = ".,;:!?-)(\"'*#%$&|<>/[]{}=+_~`^@\\"
+#: Words in capitals and small letters, with accents, marks, digits and signs of several kinds.
+PROBES = "Word wORD wordy, it's O'CLOCK 'LL don't. (a) x=1 3.14 A1b2 na\u00efve \u00dcBER \u00e9\u0301 \u0130stanbul \u0130. a\u0130' \u65e5\u672c\u8a9e\u3002 \u2460 \U0001f600! <b> #a_b 50% --"
 
 
 class WordTokens:
@@ -29,6 +32,23 @@ class WordTokens:
         for token, number in self.tokenizer.get_vocab().items():
             self.ends[number] = token.endswith("</w>")
         self._forget()
+        self.by_words = self._goes_by_words()
+
+    def _goes_by_words(self) -> bool:
+        """Whether words give the ids of the whole text, whatever white space is between them."""
+        self.by_words = True
+        texts = [PROBES, PROBES.replace(" ", "\n"), "\t " + PROBES.replace(" ", " \x0b ") + "\r\n"]
+        texts += [PROBES.lower(), " ".join(reversed(PROBES.split(" ")))]
+        ids, bounds = self.encode([t.encode() for t in texts])
+        found = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+        return found == self._encoded(texts)
+
+    def _letters_only(self, core: str) -> bool:
+        """Whether the vocabulary too sees only letters: a lower-cased letter may bring a mark that goes with what follows."""
+        if core.isascii():
+            return core.isalpha()
+        normalizer = self.tokenizer.normalizer
+        return core.isalpha() and (normalizer.normalize_str(core) if normalizer else core).isalpha()
 
     def _forget(self) -> None:
         # A word is two pieces: its letters and what follows them. Piece 0 is empty.
@@ -48,7 +68,7 @@ class WordTokens:
             some = letters[k : k + 500]
             found = np.array(self._encoded([" ".join(some)])[0], dtype=np.uint32)
             ends = np.flatnonzero(self.ends[found]) + 1
-            # A letter whose lower case is more than letters gives more pieces than words.
+            # Should some word give more pieces than one, each is encoded alone.
             if len(ends) != len(some):
                 alone = self._encoded(some)
                 found = np.array([i for x in alone for i in x], dtype=np.uint32)
@@ -71,7 +91,7 @@ class WordTokens:
         for word in words:
             text = word.decode()
             core = text.rstrip(PUNCTUATION)
-            if core.isalpha():
+            if self._letters_only(core):
                 tail = text[len(core) :]
                 core = core.lower() if core.isascii() else core
                 if core not in self.pieces:
@@ -90,8 +110,16 @@ class WordTokens:
         self.parts = np.concatenate([self.parts, parts.reshape(-1, 2)])
         self.places.update(zip(words, range(first, first + len(split))))
 
+    def _encoded_whole(self, texts: list[bytes], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        end = [] if end_id is None else [end_id]
+        found = [ids + end for ids in self._encoded([text.decode() for text in texts])]
+        ids = np.fromiter(chain.from_iterable(found), dtype=np.uint32)
+        return ids, np.cumsum([0] + [len(x) for x in found])
+
     def encode(self, texts: list[bytes], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's ids begin, with the total last."""
+        if not self.by_words:
+            return self._encoded_whole(texts, end_id)
         split = [text.split() for text in texts]  # bytes.split: ASCII white space only
         words = list(chain.from_iterable(split))
         every = set(words)
