@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.shingles import shared_keys, shingle_set
@@ -209,16 +209,19 @@ def ngram_components(
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each component: the row whose id names it.
+    """``docs`` with one row of each component: the one with the smallest id, null ids last.
 
-    Of rows that share that id as well, one stays. Rows without an id, and those without words, all stay.
+    Rows are told apart by a number of their own, so repeated ids do no harm: of rows that share the smallest id one stays.
+    Rows without words link with nothing and all stay. An empty table stays empty. Columns may have any name.
     """
-    found = ngram_components(docs, id_column=id_column, text_column=text_column, **options)
-    later = found.filter(F.col("component_id").isNotNull() & (F.col(id_column) != F.col("component_id")))
-    rest = docs.join(later.select(F.col(id_column).alias("_later")).distinct(), F.col(id_column) == F.col("_later"), "left_anti")
-    repeated = found.filter(F.col(id_column) == F.col("component_id")).filter("n_shingles > 0")
-    repeated = repeated.groupBy(id_column).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(id_column).alias("_twice"))
-    marked = rest.join(repeated, F.col(id_column) == F.col("_twice"), "left")
-    order = Window.partitionBy("_twice").orderBy(F.xxhash64(*docs.columns))
-    one = marked.filter("_twice is not null").withColumn("_place", F.row_number().over(order)).filter("_place = 1")
-    return marked.filter("_twice is null").select(*docs.columns).unionByName(one.select(*docs.columns))
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    rows = written(docs.select(F.monotonically_increasing_id().alias("number"), whole.alias("row")), "numbered-rows")
+    texts = rows.select("number", F.col("row")[text_column].alias("text"))
+    found = ngram_components(texts, id_column="number", text_column="text", **options)
+    shared = found.filter(F.col("n_shingles") > 0).select("number", "component_id")
+    ids = rows.select("number", F.col("row")[id_column].alias("id"))
+    best = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "number"))["number"]
+    later = written(shared.join(ids, "number"), "components-of-rows")
+    kept = later.groupBy("component_id").agg(best.alias("number"))
+    later = later.join(kept.select("number"), "number", "left_anti").select("number")
+    return rows.join(later, "number", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])

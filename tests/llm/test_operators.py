@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from parley.llm import langid, lm, mixing, packing, passages, quality, token_files, urls, wordtokens
 from parley.llm.exact_dedup import drop_exact_copies, exact_dedup
+from parley.llm.ngram_join import drop_near_copies
 from parley.llm.queries import tokenizer
 
 LONG = "word and more, " * 3000
@@ -216,3 +217,60 @@ def test_pipeline_stages_on_odd_rows(spark, docs):
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, rows, "").columns == rows.columns, name
+
+
+def test_word_tokens_of_odd_letters_equal_whole_texts(encoded):
+    """Random texts of letters whose lower case is more than letters, combining marks, marks and odd spaces."""
+    rng = np.random.default_rng(11)
+    parts = list("aBz'.,-!?1 \t\n\x0b\x0c\r\x1c\x85\xa0 İıßŒéÉ́̇ͅΣςǅŉﬁⅣ①日。ـ") + [" ", " ", "don't", "İ'", "word"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 14))) for _ in range(20_000)]
+    tokens = wordtokens.WordTokens(tokenizer())
+    assert tokens.by_words
+    for k in range(0, len(texts), 2000):
+        ids, bounds = tokens.encode([t.encode() for t in texts[k : k + 2000]], 1)
+        for j, text in enumerate(texts[k : k + 2000]):
+            assert ids[bounds[j] : bounds[j + 1]].tolist() == encoded(text).tolist(), repr(text)
+
+
+def test_vocabularies_that_span_white_space_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    tokens = wordtokens.WordTokens(path)
+    texts = ["Two  words\n here", "", "é́ x"]
+    ids, bounds = tokens.encode([t.encode() for t in texts], 5)
+    assert not tokens.by_words
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [whole.encode(t, add_special_tokens=False).ids + [5] for t in texts]
+
+
+def test_drop_near_copies_decides_by_row(spark):
+    words = lambda k: [f"{k}w{j}" for j in range(40)]
+    a, b, c, d = (" ".join(words(k)) for k in "abcd")
+    near = " ".join(words("b")[:39] + ["other"])
+    rows = [(3, b), (5, a), (5, near), (9, a), (7, c), (7, d), (None, c), (None, "lone words " * 9), (None, None), (None, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, number int, row int, component_id int")
+    kept = drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert found == sorted([(3, b), (5, a), (7, c), (7, d), (None, "lone words " * 9), (None, None), (None, None), (4, ""), (4, "")], key=str)
+    assert drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_a_stage_drops_the_scratch_of_the_one_before(spark):
+    from parley.plans import storage
+
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    with storage.stage_scratch(spark, docs):
+        first = storage.written(docs, "first")
+        other = storage.written(docs, "other")
+    with storage.stage_scratch(spark, first):
+        second = storage.written(first, "second")
+    assert first.count() == second.count() == 2
+    with pytest.raises(Exception):
+        other.collect()
+    with storage.stage_scratch(spark, docs):
+        pass
+    with pytest.raises(Exception):
+        second.collect()
