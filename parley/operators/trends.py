@@ -2,10 +2,83 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.functions.text import keyword_words, ngram_range, staged
+from parley.functions.text import keyword_words, ngrams, staged
+from parley.plans.storage import written
+
+
+FILTER_CELLS = 1 << 17  # 64-bit cells of a level's filter: 1 MB, whatever the number of n-grams
+
+
+def _bit_slot(ngram: Column) -> Column:
+    """Place of an n-gram in a filter of ``64 * FILTER_CELLS`` bits."""
+    return F.xxhash64(ngram).bitwiseAND(F.lit(64 * FILTER_CELLS - 1))
+
+
+def _frequent_bits(counts: DataFrame, min_doc_freq: int) -> Column:
+    """The filter of a level's frequent n-grams: a bit may be set for others too, never missing for them."""
+    slot = _bit_slot(F.col("ngram"))
+    cells = counts.filter(F.col("doc_count") >= min_doc_freq).select(F.shiftright(slot, 6).alias("cell"), slot.alias("slot"))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
+    found = cells.groupBy("cell").agg(F.bit_or(one).alias("bits")).toArrow()  # at most FILTER_CELLS rows
+    bits = np.zeros(FILTER_CELLS, dtype="<i8")
+    bits[found.column("cell").to_numpy()] = found.column("bits").to_numpy()
+    return F.lit(bits.tobytes())
+
+
+def _is_set(bits: Column, ngram: Column) -> Column:
+    slot = _bit_slot(ngram)
+    byte = F.ascii(F.decode(F.substring(bits, (F.shiftright(slot, 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+    return F.call_function("getbit", byte, slot.bitwiseAND(F.lit(7)).cast("int")) == 1
+
+
+def _level_grams(rows: DataFrame, n: int, bits: Column | None) -> DataFrame:
+    """``(_grams)``: the n-grams of every comment, sorted; with the level before's filter only those whose two shorter ones pass."""
+    if bits is None:
+        return staged(rows, "_grams", F.sort_array(ngrams(F.col("tokens"), n))).select("_grams")
+    shorter = staged(rows, "_shorter", ngrams(F.col("tokens"), n - 1))
+    passed = staged(shorter, "_passed", F.transform("_shorter", lambda g: _is_set(bits, g)))
+    starts = F.when(F.size("tokens") >= n, F.sequence(F.lit(1), F.size("tokens") - (n - 1)))
+    both = F.filter(starts, lambda i: F.get(F.col("_passed"), i - 1) & F.get(F.col("_passed"), i))
+    runs = F.transform(both, lambda i: F.array_join(F.slice("tokens", i, n), " "))
+    return staged(passed, "_grams", F.sort_array(F.coalesce(runs, F.array().cast("array<string>")))).select("_grams")
+
+
+def _spread_level(rows: DataFrame, n: int, bits: Column | None) -> DataFrame:
+    """``(ngram, first)``: the n-grams are sorted, so the first of its kind is the one that differs from its predecessor."""
+    flagged = F.transform(
+        "_grams",
+        lambda g, i: F.struct(
+            g.alias("ngram"), F.coalesce(F.get(F.col("_grams"), i - 1) != g, F.lit(True)).alias("first")
+        ),
+    )
+    return _level_grams(rows, n, bits).select(F.inline(flagged))
+
+
+def ngram_counts(tokens: DataFrame, low: int, high: int, min_doc_freq: int) -> DataFrame:
+    """``(ngram, total_count, doc_count)`` of all n-grams of ``low`` to ``high`` tokens in ``min_doc_freq`` comments or more.
+
+    Level by level: an n-gram can be frequent only if the two shorter ones in it are, so from the second level on only
+    n-grams whose parts pass the filter of the level before are spread and shuffled. ``tokens`` is a written table:
+    every level reads it.
+    """
+    found, bits = [], None
+    for n in range(1, high + 1):
+        counts = _spread_level(tokens, n, bits).groupBy("ngram").agg(
+            F.count("*").alias("total_count"), F.count_if("first").alias("doc_count")
+        )
+        counts = written(counts.filter(F.col("doc_count") >= min_doc_freq), "ngram-level")
+        if n >= low:
+            found.append(counts)
+        if n < high:
+            bits = _frequent_bits(counts, min_doc_freq)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every
 
 
 def hot_ngrams(
@@ -20,31 +93,14 @@ def hot_ngrams(
 ) -> DataFrame:
     """Topics by occurrences x ln(comments / comments with it), neither too rare nor everywhere.
 
-    Takes ``tokens`` as left by the preprocessing. One pass gives occurrences, document counts and
-    the number of comments: the n-grams of a comment are sorted, so the first of its kind is the one
-    that differs from its predecessor, and one empty n-gram stands for the comment itself.
+    Takes ``tokens`` as left by the preprocessing, which are written once and read by every level.
     """
-    grams = staged(preprocessed.select("tokens"), "_grams", F.sort_array(ngram_range(F.col("tokens"), low, high)))
-    flagged = F.transform(
-        "_grams",
-        lambda g, i: F.struct(
-            g.alias("ngram"), F.coalesce(F.get(F.col("_grams"), i - 1) != g, F.lit(True)).alias("first")
-        ),
-    )
-    marker = F.array(F.struct(F.lit("").alias("ngram"), F.lit(True).alias("first")))
-    counts = (
-        grams.select(F.inline(F.concat(marker, flagged)))
-        .groupBy("ngram")
-        .agg(F.count("*").alias("total_count"), F.count_if("first").alias("doc_count"))
-    )
-    # Both readers of `counts` read all its columns and decide on the counts, not on the key, so that
-    # they share its shuffle: see the note in `keywords`. The marker's two counts are equal.
-    marked = F.when(F.col("ngram") == "", F.least("doc_count", "total_count"))
-    comments = counts.agg(F.sum(marked).cast("double")).scalar()
+    tokens = written(preprocessed.select("tokens"), "ngram-tokens")
+    counts = ngram_counts(tokens, low, high, min_doc_freq)
+    comments = tokens.agg(F.count("*").cast("double")).scalar()
     weight = F.ln(comments / F.col("doc_count")) if use_tfidf else F.lit(1.0)
-    own = F.when(F.col("ngram") == "", 0).otherwise(F.col("doc_count"))
     return (
-        counts.filter((own >= min_doc_freq) & (own <= max_doc_freq_ratio * comments))
+        counts.filter(F.col("doc_count") <= max_doc_freq_ratio * comments)
         .select("ngram", "total_count", "doc_count", (F.col("total_count") * weight).alias("weight"))
         .orderBy(F.desc("weight"), "ngram")
         .limit(top_k)

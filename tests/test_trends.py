@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +28,30 @@ def test_hot_ngrams_by_hand(spark):
     assert "blue" not in {r[0] for r in trends.hot_ngrams(df, max_doc_freq_ratio=0.4).select("ngram").collect()}
 
 
+def test_levels_keep_all_frequent_ngrams(spark):
+    rng = random.Random(8)
+    rows = [([rng.choice("aaaaaabbcdefghijklmnop") for _ in range(rng.randrange(12))],) for _ in range(400)]
+    df = spark.createDataFrame(rows, "tokens array<string>")
+    total, docs = Counter(), Counter()
+    for (tokens,) in rows:
+        grams = [" ".join(tokens[i : i + n]) for n in (1, 2, 3, 4) for i in range(len(tokens) - n + 1)]
+        total.update(grams)
+        docs.update(set(grams))
+    got = {r["ngram"]: (r["total_count"], r["doc_count"]) for r in trends.ngram_counts(df, 1, 4, 6).collect()}
+    assert got == {g: (total[g], n) for g, n in docs.items() if n >= 6} and any(g.count(" ") == 3 for g in got)
+    assert {r["ngram"] for r in trends.ngram_counts(df, 2, 2, 6).collect()} == {g for g in got if g.count(" ") == 1}
+
+
+def test_the_filter_spares_rows(spark):
+    rows = [([f"own{i}", "hot", "topic", f"other{i}", f"more{i}"],) for i in range(50)]
+    df = spark.createDataFrame(rows, "tokens array<string>")
+    words = trends.ngram_counts(df, 1, 1, 5)
+    bits = trends._frequent_bits(words, 5)
+    # Of four pairs per comment one has two frequent words; a bit that is set for another word may let a few more pass.
+    assert 50 <= trends._spread_level(df, 2, bits).count() <= 52
+    assert trends._spread_level(df, 2, None).count() == 200
+
+
 def test_bursts_count_missing_windows_as_zero(spark):
     rows = [(day(0), "a")] * 2 + [(day(1), "b")] + [(day(2), "a")] * 2 + [(day(3), "a")] * 3 + [(day(3), "new")] * 9
     df = spark.createDataFrame(rows, "timestamp timestamp, key string")
