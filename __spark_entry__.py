@@ -18,10 +18,12 @@ import oracle_queries  # noqa: E402
 from parley.config import CleanOptions  # noqa: E402
 from parley.functions import text as tx  # noqa: E402
 from parley.operators import clusters, controversy, filters, keywords, neardup, sampling, stats, trends  # noqa: E402
-from parley.plans.report import build_report  # noqa: E402
-from parley.plans.storage import scratch_path  # noqa: E402
-from parley.plans.tables import comments, stream_table, table  # noqa: E402
+from parley.plans.report import build_report, publish_report  # noqa: E402
+from parley.plans.storage import scratch_path, written  # noqa: E402
+from parley.plans.tables import comments, spread, stream_table, table  # noqa: E402
+from parley.plans.topics import topic_tables  # noqa: E402
 from parley.sources.comments import load_comments, normalize_columns, select_comments, typed  # noqa: E402
+from parley.sources.publish import read_published  # noqa: E402
 from parley.sources.sinks import write_table  # noqa: E402
 from parley.streaming.bursts import BURSTS, stream_bursts  # noqa: E402
 from parley.streaming.windows import closed_window_counts, with_open_windows  # noqa: E402
@@ -81,6 +83,41 @@ def load_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.select("id", "subreddit", "score", "clean_text", "token_count")
 
 
+def load_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole load job from CSV files with other names in their header: the first comments, two filters, cleaning."""
+    raw = comments(spark, sf_dir, "id", "body", "subreddit", "score").toDF("ID", "Comment", "Sub", "Points")
+    path = scratch_path(spark, "comments-csv")
+    write_table(raw, path)
+    wanted = dict(num_comments=400, random_sample=False, subreddits=["src1", "src2", "src3", "src4"], min_score=5)
+    return load_comments(spark, path, **wanted).select("id", "subreddit", "score", "clean_text", "token_count")
+
+
+def load_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the load job read, dropped and kept, as seen while it wrote its rows."""
+    rows, seen = stats.observed_analysis_rows(comments(spark, sf_dir, "id", "body", "subreddit"))
+    written(rows, "analysis-rows")
+    names = ("total", "without_text", "without_subreddit", "too_short", "valid")
+    return spark.createDataFrame([tuple(seen.get[n] for n in names)], ", ".join(f"{n} bigint" for n in names))
+
+
+def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw pages and their addresses through the cleaner: links, entities, tables, quoted lines."""
+    pages = spark.read.schema("page_id bigint, url string, html string").parquet(f"{sf_dir}/pages.parquet")
+    text = F.concat_ws("\n", "html", "url")
+    return spread(pages, "page_id").select("page_id", tx.clean_text(text).alias("clean_text"))
+
+
+def published_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table of a report that was published as a whole, as its readers see it."""
+    path = scratch_path(spark, "published-report")
+    publish_report(build_report(comments(spark, sf_dir)), path, "parquet")
+    return _rounded(read_published(spark, path)["subreddit_controversy_rates"], "controversy_rate")
+
+
+def demo_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(topic_tables(_preprocessed(spark, sf_dir), "demo", method=None)["hot_ngrams"], "weight")
+
+
 def subreddit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = _preprocessed(spark, sf_dir).select("id", "subreddit", "token_count")
     scores = table(spark, sf_dir, "events").select(
@@ -189,6 +226,8 @@ def queries() -> dict[str, Query]:
     q["csv_round_trip"] = csv_round_trip
     q["normalize_columns"] = normalize
     q["load_comments"] = load_job
+    q["load_csv_comments"] = load_csv
+    q["load_metrics"] = load_metrics
     q["first_n"] = lambda s, d: sampling.first_n(comments(s, d, "id", "subreddit", "body"), 200)
     q["sample_n"] = lambda s, d: sampling.sample_n(comments(s, d, "id", "subreddit", "body"), 150)
     q["stratified_sample"] = lambda s, d: sampling.stratified_sample(
@@ -210,6 +249,7 @@ def queries() -> dict[str, Query]:
     # Text
     q["comment_length"] = lambda s, d: controversy.with_comment_length(comments(s, d, "id", "body")).drop("body")
     q["clean_comments"] = lambda s, d: comments(s, d, "id", "body").select("id", tx.clean_text(F.col("body")).alias("clean_text"))
+    q["clean_pages"] = clean_pages
     q["tokenize"] = lambda s, d: _with_tokens(s, d).select(
         "id", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").alias("token_count")
     )
@@ -257,6 +297,7 @@ def queries() -> dict[str, Query]:
     q["top_controversial"] = lambda s, d: _rounded(
         controversy.top_controversial(_group_flags(s, d), 5), "controversy_rate"
     )
+    q["published_rates"] = published_rates
     # Keywords
     q["tfidf_keywords"] = tfidf
     q["differential_keywords"] = differential
@@ -266,6 +307,7 @@ def queries() -> dict[str, Query]:
     q["unique_vocabulary"] = lambda s, d: keywords.unique_vocabulary(_analysis(s, d, "body", "subreddit"))
     # Trends
     q["hot_ngrams"] = hot_ngrams
+    q["hot_ngrams_demo"] = demo_topics
     q["burst_words"] = burst_words
     q["burst_events"] = burst_events
     q["stream_window_counts"] = stream_window_counts

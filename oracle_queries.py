@@ -183,6 +183,15 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {PREPROCESSED} SELECT id, subreddit, score, clean_text, token_count FROM preprocessed "
         "WHERE subreddit IN ('src1', 'src2', 'src3') AND score >= 10"
     )
+    q["load_csv_comments"] = (
+        f"WITH {PREPROCESSED} SELECT id, subreddit, score, clean_text, token_count FROM preprocessed "
+        "WHERE subreddit IN ('src1', 'src2', 'src3', 'src4') AND score >= 5 "
+        "AND id IN (SELECT id FROM comments ORDER BY id LIMIT 400)"
+    )
+    q["load_metrics"] = f"""WITH {COMMENTS} SELECT count(*) AS total, count(*) FILTER (body IS NULL) AS without_text,
+      count(*) FILTER (body IS NOT NULL AND subreddit IS NULL) AS without_subreddit,
+      count(*) FILTER (body IS NOT NULL AND subreddit IS NOT NULL AND length(body) < 10) AS too_short,
+      count(*) FILTER (body IS NOT NULL AND subreddit IS NOT NULL AND length(body) >= 10) AS valid FROM comments"""
     q["first_n"] = f"WITH {COMMENTS} SELECT id, subreddit, body FROM comments ORDER BY id LIMIT 200"
     q["sample_n"] = (
         f"WITH {COMMENTS} SELECT id, subreddit, body FROM comments "
@@ -303,6 +312,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT ngram, total_count, doc_count, round(total_count * ln(CAST(n AS DOUBLE) / doc_count), 6) AS weight
       FROM counts, total WHERE doc_count >= 5 AND doc_count <= 0.5 * n
       ORDER BY total_count * ln(CAST(n AS DOUBLE) / doc_count) DESC, ngram LIMIT 10"""
+    q["hot_ngrams_demo"] = q["hot_ngrams"].removesuffix("10") + "5"
     q["burst_words"] = f"""WITH {COMMENTS},
       mentions AS (SELECT timestamp AS ts, unnest(list_distinct({KEYWORD_WORDS})) AS word FROM comments),
       {bursts("mentions", "word", 2.0)}
@@ -321,6 +331,8 @@ def oracle_sql() -> dict[str, str]:
           grouped AS (SELECT *, CASE WHEN c = '' THEN CAST(id AS VARCHAR) ELSE '#' || c END AS g FROM cleaned)
           SELECT id, score, count(*) OVER (PARTITION BY g) AS group_size FROM grouped
           QUALIFY row_number() OVER (PARTITION BY g ORDER BY {order}) = 1"""
+    q["clean_pages"] = f"SELECT page_id, {clean("concat_ws(chr(10), html, url)")} AS clean_text FROM pages"
+    q["published_rates"] = q["subreddit_controversy_rates"]
     # Near duplicates: all pairs of different clean texts by their sets of 5-character shingles
     texts = f"""{COMMENTS},
       cleaned AS MATERIALIZED (SELECT id, subreddit, {clean("body")} AS c FROM comments),

@@ -17,6 +17,8 @@ from parley.operators.filters import analysis_rows
 from parley.operators.keywords import compute_tfidf
 from parley.plans.storage import written
 from parley.sources.comments import require_columns, with_body
+from parley.sources.ids import with_stable_ids
+from parley.sources.publish import publish
 from parley.sources.sinks import write_table
 
 
@@ -50,13 +52,12 @@ def build_report(
 
     With ``stage`` one job first writes the figures of the comments, without their text, to the
     shared folder. The tables then read the text twice (keywords, sample) instead of six times,
-    which pays off for a table of any size; ids must then be part of the input.
+    which pays off for a table of any size. A sample of a table without ids numbers the rows by their content.
     """
     rows = analysis_rows(require_columns(with_body(comments)))
     if "id" not in rows.columns:
-        if sample_size is not None:
-            raise ValueError("sampling needs an id column: generated ids change when they are computed again")
-        rows = rows.withColumn("id", F.monotonically_increasing_id())
+        # Ids matter to a sample only; there they have to be the same in every table that reads them.
+        rows = with_stable_ids(rows) if sample_size is not None else rows.withColumn("id", F.monotonically_increasing_id())
     figures = written(_figures(rows, "body"), "report-figures") if stage else None
     controversy = analyze(rows, sample_size=sample_size, figures=figures)
     return {
@@ -70,3 +71,8 @@ def build_report(
 def write_report(report: dict[str, DataFrame], path: str, fmt: str = "csv") -> None:
     for name, df in report.items():
         write_table(df, f"{path.rstrip('/')}/{name}", fmt)
+
+
+def publish_report(report: dict[str, DataFrame], path: str, fmt: str = "csv") -> str:
+    """Publish the tables together: readers of ``sources.publish`` see the old report until the new one is whole."""
+    return publish(report, path, fmt)

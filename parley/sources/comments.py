@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from parley.config import REQUIRED_COLUMNS, CleanOptions
 from parley.operators.filters import in_subreddits, preprocess, with_min_score
 from parley.operators.sampling import first_n, sample_n
+from parley.sources.ids import with_stable_ids
 
 COMMENT_SCHEMA = T.StructType(
     [
@@ -131,7 +132,12 @@ def select_comments(
     seed: int = 42,
     options: CleanOptions = CleanOptions(),
 ) -> DataFrame:
-    """The load job after reading: take, normalise, filter, preprocess."""
+    """The load job after reading: take, normalise, filter, preprocess.
+
+    Rows of a table without ids are numbered by their content where a number of comments is asked for.
+    """
+    if num_comments and "id" not in [c.lower() for c in df.columns]:
+        df = with_stable_ids(df)  # a sample by ids that change would change as well
     df = typed(normalize_columns(df))
     if num_comments:
         df = sample_n(df, num_comments, seed) if random_sample else first_n(df, num_comments)

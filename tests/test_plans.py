@@ -10,7 +10,11 @@ from parley.plans.tables import comments
 
 PYTHON_ALLOWED = {"near_dup_candidates", "near_dup_pairs", "folded_comments", "opinion_clusters"}
 QUERIES = {n: q for n, q in entry.queries().items() if not re.match(r"op\d+_|pipeline$", n)}
-EAGER = PYTHON_ALLOWED | {"csv_round_trip", "hot_ngrams", "near_dup_members", "stream_window_counts", "stream_bursts"} | {q for q in QUERIES if q.startswith("folded_")}
+EAGER = PYTHON_ALLOWED | set(
+    "csv_round_trip load_csv_comments load_metrics published_rates hot_ngrams hot_ngrams_demo near_dup_members "
+    "stream_window_counts stream_bursts".split()
+)
+EAGER |= {q for q in QUERIES if q.startswith("folded_")}
 
 
 def plans(df):
