@@ -28,20 +28,48 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_stage_paths: list[str] | None = None  # tables written by the stages of a job so far, where they are to be dropped
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table, cut from its lineage: computed once, and it outlives the executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _stage_paths is not None:
+        _stage_paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _deleted(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing reads any more."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     for table in tables:
         for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-            path = hadoop.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _deleted(spark, folder)
+
+
+@contextmanager
+def stage_scratch(spark: SparkSession, docs: DataFrame) -> Iterator[None]:
+    """One stage of a job whose stages are written and read again: its scratch tables go when the next stage begins.
+
+    Tables that ``docs``, the input of this stage, still reads stay.
+    """
+    global _stage_paths
+    earlier, read = getattr(spark, "_parley_stage_paths", []), docs.inputFiles()
+    name = lambda path: path.rstrip("/").rsplit("/", 1)[1]  # noqa: E731 - the name is unique, schemes and hosts may differ
+    kept = [p for p in earlier if any(f"/{name(p)}/" in file for file in read)]
+    for path in earlier:
+        if path not in kept:
+            _deleted(spark, path)
+    before, _stage_paths = _stage_paths, kept
+    try:
+        yield
+    finally:
+        spark._parley_stage_paths, _stage_paths = _stage_paths, before
 
 
 @contextmanager
