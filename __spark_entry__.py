@@ -211,8 +211,8 @@ def _folded_copies(strategy: str) -> Query:
     return query
 
 
-def opinion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.opinion_clusters(_preprocessed(spark, sf_dir))
+def _opinion_clusters(method: str) -> Query:
+    return lambda spark, sf_dir: clusters.opinion_clusters(_preprocessed(spark, sf_dir), method=method)
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -320,7 +320,8 @@ def queries() -> dict[str, Query]:
     q["folded_copies_first"] = _folded_copies("first")
     q["folded_copies_longest"] = _folded_copies("longest")
     q["folded_copies_highest_score"] = _folded_copies("highest_score")
-    q["opinion_clusters"] = opinion_clusters
+    q["opinion_clusters"] = _opinion_clusters("kmeans")
+    q["opinion_clusters_hierarchical"] = _opinion_clusters("hierarchical")
     return q | (llm.queries() if llm else {})
 
 

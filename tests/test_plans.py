@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from parley.operators import controversy, filters, keywords
 from parley.plans.tables import comments
 
-PYTHON_ALLOWED = {"near_dup_candidates", "near_dup_pairs", "folded_comments", "opinion_clusters"}
+PYTHON_ALLOWED = {"near_dup_candidates", "near_dup_pairs", "folded_comments", "opinion_clusters", "opinion_clusters_hierarchical"}
 QUERIES = {n: q for n, q in entry.queries().items() if not re.match(r"op\d+_|pipeline$", n)}
 EAGER = PYTHON_ALLOWED | set(
     "csv_round_trip load_csv_comments load_metrics published_rates hot_ngrams hot_ngrams_demo near_dup_members "

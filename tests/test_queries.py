@@ -8,7 +8,7 @@ from check import TABLES, differences
 
 SQL = {n: s for n, s in entry.oracle_sql().items() if not re.match(r"op\d+_|pipeline$", n)}
 QUERIES = {n: q for n, q in entry.queries().items() if not re.match(r"op\d+_|pipeline$", n)}
-NO_SQL = {"near_dup_candidates", "opinion_clusters"}
+NO_SQL = {"near_dup_candidates", "opinion_clusters", "opinion_clusters_hierarchical"}
 
 
 @pytest.fixture(scope="module")
