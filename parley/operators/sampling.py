@@ -28,7 +28,13 @@ def _fraction(key: Column) -> Column:
 
 def _bound(n: int, rows: Column) -> Column:
     """Fraction that the hashes of ``n`` rows stay below; above 1 where there are hardly more rows."""
-    return (F.lit(float(n)) + SPREAD * n**0.5 + SPREAD * SPREAD) / rows
+    return (F.lit(float(n)) + SPREAD * n**0.5 + SPREAD * SPREAD) / F.greatest(rows, F.lit(1))
+
+
+def _last(n: int, found: Column, rows: Column, last: Column) -> Column:
+    """The last row of the sample, unless the bound was missed: a wrong sample is not returned."""
+    missed = F.raise_error(F.lit("too many equal ids for a sample by their hashes"))
+    return F.when(found < F.least(F.lit(n), rows), missed).otherwise(last)
 
 
 def smallest_hashes(
@@ -50,15 +56,22 @@ def smallest_hashes(
     last = first.groupBy("_stratum").agg(
         F.max(F.struct("_key", "_id")).alias("_last"), F.count("*").alias("_found"), F.any_value("_rows").alias("_rows")
     )
-    missed = F.raise_error(F.lit("too many equal ids for a sample by their hashes"))
-    last = last.select("_stratum", F.when(F.col("_found") < F.least(F.lit(n), "_rows"), missed).otherwise(F.col("_last")).alias("_last"))
+    last = last.select("_stratum", _last(n, F.col("_found"), F.col("_rows"), F.col("_last")).alias("_last"))
     chosen = F.struct(key.alias("_key"), F.col(id_column).alias("_id")) <= F.col("_last")
     return df.withColumn("_stratum", stratum).join(F.broadcast(last), "_stratum").filter(chosen).drop("_stratum", "_last")
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` random comments (all of them if there are fewer)."""
-    return smallest_hashes(df, n, seed, F.lit(0))
+    if n <= 0:
+        return df.limit(0)
+    key = hash_key(seed)
+    narrow = df.select(key.alias("_key"), F.col("id").alias("_id"))
+    rows = narrow.agg(F.count("*")).scalar()
+    few = narrow.filter(_fraction(F.col("_key")) <= _bound(n, rows)).orderBy("_key", "_id").limit(n)
+    found = few.agg(F.max(F.struct("_key", "_id")).alias("last"), F.count("*").alias("found"))
+    last = found.select(_last(n, F.col("found"), rows, F.col("last"))).scalar()
+    return df.filter(F.struct(key.alias("_key"), F.col("id").alias("_id")) <= last)
 
 
 def stratified_sample(
