@@ -31,6 +31,7 @@ class WordTokens:
         self.ends = np.zeros(self.size, dtype=bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.ends[number] = token.endswith("</w>")
+        self.letters: set[str] = set()  # beyond ASCII, whose normal form is letters only; no more than there are characters
         self._forget()
         self.by_words = self._goes_by_words()
 
@@ -45,10 +46,12 @@ class WordTokens:
 
     def _letters_only(self, core: str) -> bool:
         """Whether the vocabulary too sees only letters: a lower-cased letter may bring a mark that goes with what follows."""
-        if core.isascii():
+        if core.isascii() or not core.isalpha():
             return core.isalpha()
-        normalizer = self.tokenizer.normalizer
-        return core.isalpha() and (normalizer.normalize_str(core) if normalizer else core).isalpha()
+        if not self.letters.issuperset(core):
+            normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+            self.letters.update(c for c in set(core) if normal(c).isalpha())
+        return self.letters.issuperset(core)
 
     def _forget(self) -> None:
         # A word is two pieces: its letters and what follows them. Piece 0 is empty.
