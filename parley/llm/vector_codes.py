@@ -197,7 +197,8 @@ def resident_rounds(
         step = _migrating(options, partitions, width, spark_context.broadcast(books))
         dealt = members.mapPartitions(step, preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
         stay = dealt.filter(lambda kv: not kv[1][0]).mapValues(lambda v: v[1])
-        moved = dealt.filter(lambda kv: kv[1][0]).mapValues(lambda v: v[1]).partitionBy(partitions, _partition)
+        # Plain map: the keys of what moves are new, so the partitioner of its old place must not be kept.
+        moved = dealt.filter(lambda kv: kv[1][0]).map(lambda kv: (kv[0], kv[1][1])).partitionBy(partitions, _partition)
         members = stay.union(moved.mapValues(lambda v: v))
         if (k + 1) % CHECKPOINT_ROUNDS == 0:
             members.checkpoint()
