@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parley.llm import lm, quality
+from parley.llm import lm, mixing, quality
 
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -149,8 +149,7 @@ def _mixing() -> str:
     return f"""
 WITH d AS (
   SELECT doc_id, source, CAST(len({_words("coalesce(text, '')")}) AS BIGINT) AS size,
-    CAST('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 13) AS BIGINT)
-      / 4503599627370496.0 AS u
+    '|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) AS name
   FROM documents),
 s AS (
   SELECT source, sum(size) AS n, 3.0 * sum(size) AS cap,
@@ -165,10 +164,18 @@ lvl AS (SELECT arg_min(level, ratio) AS level FROM tries WHERE level <= ratio),
 t AS (SELECT source, CAST(n AS BIGINT) AS source_size, CAST(least(cap, w * (SELECT level FROM lvl)) AS DOUBLE) AS target FROM s),
 r AS (
   SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+-- Every document's uniform number for every seed; a source takes the seed that comes nearest to its target.
+drawn AS (
+  SELECT r.*, k, CAST('0x' || substr(sha256('{mixing.SEED}|' || (k // 8) || name), 8 * (k % 8) + 1, 8) AS BIGINT) / 4294967296.0 AS u
+  FROM r CROSS JOIN (SELECT unnest(range(0, {mixing.SEEDS})) AS k)),
+sums AS (
+  SELECT source, k, abs(sum(CASE WHEN u < rate - floor(rate) THEN size ELSE 0 END) - max(rate - floor(rate)) * max(source_size)) AS off
+  FROM drawn GROUP BY source, k),
+best AS (SELECT source, arg_min(k, struct_pack(a := off, b := k)) AS k FROM sums GROUP BY source)
 SELECT doc_id, size, source_size, round(target, 6) AS target,
   CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM r"""
+FROM drawn JOIN best ON drawn.source IS NOT DISTINCT FROM best.source AND drawn.k = best.k"""
 
 
 def _codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:

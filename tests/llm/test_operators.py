@@ -127,6 +127,18 @@ def test_mixing(docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_sources_come_near_their_targets(spark):
+    """Sources of 100 documents, some of them long: one draw alone would miss by a fifth now and then."""
+    rows = [(k, "w " * (400 if k % 25 == 0 else 20 + k % 7), f"s{k % 6}") for k in range(600)]
+    rows += [(None, "w " * 30, None), (None, "v " * 30, None), (7, None, "empty"), (8, "", "empty")]
+    docs = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, source string, seed int, fraction int")
+    plan = mixing.mix_plan(docs).toPandas()
+    sums = plan.groupby("source").agg({"taken": "sum", "target": "max", "size": "sum"})
+    assert (abs(sums.taken - sums.target) <= 0.02 * sums.target).drop("empty").all()
+    assert sums.taken["empty"] == 0 and len(plan) == len(rows)
+    assert mixing.mix(docs).columns == docs.columns
+
+
 def test_quality_rules_cut_common_lines(spark):
     own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
     rows = [(i, f"{own(i)}\nThe  same LINE 1 here", "a") for i in range(30)]
