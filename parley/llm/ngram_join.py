@@ -78,7 +78,7 @@ def _open_groups(threshold: Fraction):
     def opened(rows: pa.Table) -> pa.Table:
         queries, members = rows.filter(rows.column("query")), rows.filter(pc.invert(rows.column("query")))
         arrays = lambda t: [np.frombuffer(x, dtype=np.uint64) for x in t.column("shingles").to_pylist()]
-        names, homes, sets = members.column("node").to_pylist(), members.column("component").to_pylist(), arrays(members)
+        homes, sets = members.column("component").to_pylist(), arrays(members)
         sizes = np.array([len(x) for x in sets], dtype=np.int64)
         # The group's matrix by token: the union, and the members that hold each token of it.
         tokens = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
@@ -86,8 +86,7 @@ def _open_groups(threshold: Fraction):
         holders = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[order]
         union, starts, held = np.unique(tokens[order], return_index=True, return_counts=True)
         found = []
-        sides = zip(queries.column("node").to_pylist(), queries.column("component").to_pylist(), arrays(queries))
-        for query, home, s in sides if len(union) else ():
+        for home, s in zip(queries.column("component").to_pylist(), arrays(queries)) if len(union) else ():
             at = np.minimum(np.searchsorted(union, s), len(union) - 1)
             at = at[union[at] == s]
             # |Q & S| / |Q | S| is at most |Q & union| / |Q|.
@@ -99,7 +98,7 @@ def _open_groups(threshold: Fraction):
             linked = {home}  # what is linked already, one way or another, needs no second link
             for k in np.flatnonzero(q * both >= p * (len(s) + sizes - both)).tolist():
                 if homes[k] not in linked:
-                    found.append((query, names[k]))
+                    found.append((home, homes[k]))
                     linked.add(homes[k])
         columns = [pa.array(c, pa.int64()) for c in zip(*found)] or [pa.array([], pa.int64())] * 2
         return pa.table(columns, ["a", "b"])
@@ -107,17 +106,22 @@ def _open_groups(threshold: Fraction):
     return opened
 
 
-def _links(requests: DataFrame, members: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Links ``(a, b)`` between the queries of ``requests`` and the ``members``, both ``(group, node, component)``.
+def _links(requests: DataFrame, members: DataFrame, sets: DataFrame, threshold: Fraction, shares: bool) -> DataFrame:
+    """Links ``(a, b)`` between the components of the queries of ``requests`` and of the ``members``.
 
-    A group with many queries is opened in several tasks, each with a share of them.
+    Both are ``(group, node, component)``. With ``shares`` a group with many queries is opened in several tasks, each with
+    a share of them; without, every group has few.
     """
-    counts = requests.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("shares"))
-    share = F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share")
-    left = requests.join(counts, "group").select("group", share, "node", "component").join(sets, "node")
-    shares = F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
-    right = members.join(counts, "group").select("group", shares, "node", "component").join(sets, "node")
+    left, right = requests.withColumn("share", F.lit(0)), members.withColumn("share", F.lit(0))
+    if shares:
+        counts = written(requests.groupBy("group").agg(F.count("*").alias("n")), "group-queries")
+        number = F.ceil(F.col("n") / QUERIES).cast("int")
+        left = salted_join(requests, counts.select("group", number.alias("shares")), "group", counts)
+        left = left.withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")).drop("shares")
+        right = members.join(counts, "group").withColumn("share", F.explode(F.sequence(F.lit(0), number - 1))).drop("n")
     both = left.withColumn("query", F.lit(True)).unionByName(right.withColumn("query", F.lit(False)))
+    # A query may ask many groups: its set is looked up once for both sides.
+    both = both.join(sets, "node")
     return both.groupBy("group", "share").applyInArrow(_open_groups(threshold), "a bigint, b bigint")
 
 
@@ -150,7 +154,8 @@ def _key_components(spread: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     groups = written(_grouped(followers, "lead"), "groups")
     own = F.col("node").alias("component")  # so far every node is a component of its own
     requests = groups.select("group", F.col("lead").alias("node")).distinct()
-    links = written(_links(requests.select("*", own), groups.select("group", "node", own), sets, threshold), "links")
+    links = _links(requests.select("*", own), groups.select("group", "node", own), sets, threshold, shares=False)
+    links = written(links, "links")
     components = written(connected_components(links), "components")
 
     named = met.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -168,8 +173,19 @@ def _key_components(spread: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     key_homes = named.join(homes.select("node", "home"), "node").select("key", "home").distinct()
     asked = outside.join(key_homes, "key").select("home", "node", "component").distinct()
     requests = asked.join(members.select("home", "group").distinct(), "home").select("group", "node", "component")
-    more = written(_links(requests, members.select("group", "node", "component"), sets, threshold), "links")
-    return components if more.isEmpty() else written(connected_components(links.unionByName(more)), "components")
+    more = _links(requests, members.select("group", "node", "component"), sets, threshold, shares=True)
+    more = written(more.distinct(), "links")
+    return components if more.isEmpty() else _merged(components, more)
+
+
+def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` after ``links (a, b)`` between them; what is not among them is a component of its own."""
+    roots = written(connected_components(links), "merged-components")
+    alone = roots.select("node", F.col("node").alias("component"))
+    named = components.unionByName(alone).distinct()
+    merged = roots.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    found = salted_join(named, merged, "component", how="left")
+    return written(found.select("node", F.coalesce("root", "component").alias("component")), "components")
 
 
 def ngram_components(
