@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import oracle_queries  # noqa: E402
 from parley.config import CleanOptions  # noqa: E402
 from parley.functions import text as tx  # noqa: E402
-from parley.operators import clusters, controversy, filters, keywords, neardup, sampling, stats, trends  # noqa: E402
+from parley.operators import clusters, controversy, filters, keywords, neardup, sampling, stats, trends, wordpass  # noqa: E402
 from parley.plans.report import build_report, publish_report  # noqa: E402
 from parley.plans.storage import scratch_path, written  # noqa: E402
 from parley.plans.tables import comments, spread, stream_table, table  # noqa: E402
@@ -156,6 +156,16 @@ def hot_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(trends.hot_ngrams(_preprocessed(spark, sf_dir)), "weight")
 
 
+def _one_pass_report(name: str) -> Query:
+    """A table of the report, rolled up from counts that one reading of the texts has written."""
+    return lambda spark, sf_dir: build_report(comments(spark, sf_dir), stage=True)[name]
+
+
+def one_pass_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = wordpass.word_pass(_analysis(spark, sf_dir, "body", "subreddit", "controversiality"))
+    return keywords.rank_vocabulary(wordpass.occurrences(written(counted, "words")))
+
+
 def burst_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(tx.keyword_words(F.col("body")))
     rows = comments(spark, sf_dir, "timestamp", words=words)
@@ -305,6 +315,14 @@ def queries() -> dict[str, Query]:
     q["keyword_comparison"] = lambda s, d: controversy.keyword_comparison(differential(s, d))
     q["top_keyword_groups"] = lambda s, d: keywords.top_keyword_groups(tfidf(s, d))
     q["unique_vocabulary"] = lambda s, d: keywords.unique_vocabulary(_analysis(s, d, "body", "subreddit"))
+    # The report from one reading of the texts
+    q["report_tfidf_keywords"] = _one_pass_report("tfidf_keywords")
+    q["report_controversy_stats"] = _one_pass_report("controversy_stats")
+    q["report_controversy_rates"] = lambda s, d: _rounded(
+        _one_pass_report("subreddit_controversy_rates")(s, d), "controversy_rate"
+    )
+    q["report_keyword_comparison"] = lambda s, d: _rounded(_one_pass_report("keyword_comparison")(s, d), "score")
+    q["report_unique_vocabulary"] = one_pass_vocabulary
     # Trends
     q["hot_ngrams"] = hot_ngrams
     q["hot_ngrams_demo"] = demo_topics

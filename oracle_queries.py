@@ -333,6 +333,12 @@ def oracle_sql() -> dict[str, str]:
           QUALIFY row_number() OVER (PARTITION BY g ORDER BY {order}) = 1"""
     q["clean_pages"] = f"SELECT page_id, {clean("concat_ws(chr(10), html, url)")} AS clean_text FROM pages"
     q["published_rates"] = q["subreddit_controversy_rates"]
+    # The report from one reading of the texts: its tables are those of the single queries
+    q["report_tfidf_keywords"] = q["tfidf_keywords"]
+    q["report_unique_vocabulary"] = q["unique_vocabulary"]
+    q["report_keyword_comparison"] = q["keyword_comparison"]
+    q["report_controversy_stats"] = q["controversy_stats_long"]
+    q["report_controversy_rates"] = q["subreddit_controversy_rates"]
     # Near duplicates: all pairs of different clean texts by their sets of 5-character shingles
     texts = f"""{COMMENTS},
       cleaned AS MATERIALIZED (SELECT id, subreddit, {clean("body")} AS c FROM comments),

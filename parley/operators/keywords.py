@@ -84,7 +84,11 @@ def compute_tfidf(
 
     Every comment counts in the numerator of the logarithm, the denominator counts communities.
     """
-    counts = _counted(df, _distinct_words(text_column), group_column)
+    return rank_tfidf(_counted(df, _distinct_words(text_column), group_column), top_n)
+
+
+def rank_tfidf(counts: DataFrame, top_n: int = 20) -> DataFrame:
+    """``compute_tfidf`` from ``(subreddit, word, doc_count)`` with the comments under the word ``COMMENT``."""
     share = F.col("doc_count").cast("double") / F.col("total")
     rarity = F.ln(_comments(counts) / F.col("group_count"))
     scored = (
@@ -107,7 +111,11 @@ def unique_vocabulary(
     Ratio of the word's share in the community to its add-one smoothed share in the rest. Empty
     for a community that is alone.
     """
-    counts = _counted(df, keyword_words(F.col(text_column)), group_column)
+    return rank_vocabulary(_counted(df, keyword_words(F.col(text_column)), group_column), top_n)
+
+
+def rank_vocabulary(counts: DataFrame, top_n: int = 20) -> DataFrame:
+    """``unique_vocabulary`` from ``(subreddit, word, doc_count)``, the occurrences of each word."""
     everywhere = counts.groupBy("word").agg(F.sum(_own()).alias("_word_total"))
     all_words = counts.agg(F.sum(_own())).scalar()
     elsewhere = (F.col("_word_total") - F.col("doc_count") + 1).cast("double") / (all_words - F.col("total") + 1)

@@ -10,11 +10,13 @@ from parley.operators.controversy import (
     controversy_stats,
     differential_keywords,
     keyword_comparison,
+    rank_differential,
     stats_long,
     with_comment_length,
 )
 from parley.operators.filters import analysis_rows
-from parley.operators.keywords import compute_tfidf
+from parley.operators.keywords import compute_tfidf, rank_tfidf
+from parley.operators.wordpass import comments_with_word, rates, side_statistics, word_pass, words_by_side
 from parley.plans.storage import written
 from parley.sources.comments import require_columns, with_body
 from parley.sources.ids import with_stable_ids
@@ -50,11 +52,13 @@ def build_report(
 ) -> dict[str, DataFrame]:
     """The four tables of the report, all lazy.
 
-    With ``stage`` one job first writes the figures of the comments, without their text, to the
-    shared folder. The tables then read the text twice (keywords, sample) instead of six times,
-    which pays off for a table of any size. A sample of a table without ids numbers the rows by their content.
+    With ``stage`` one job first counts all words and figures to the shared folder, and the tables are roll-ups of these
+    counts: the text is read once instead of six times. With a ``sample_size`` the staged table has the figures of
+    the comments, and the words are read from the text. A sample of a table without ids numbers the rows by their content.
     """
     rows = analysis_rows(require_columns(with_body(comments)))
+    if stage and sample_size is None:
+        return report_of_counts(written(word_pass(rows), "report-words"), top_n)
     if "id" not in rows.columns:
         # Ids matter to a sample only; there they have to be the same in every table that reads them.
         rows = with_stable_ids(rows) if sample_size is not None else rows.withColumn("id", F.monotonically_increasing_id())
@@ -68,6 +72,17 @@ def build_report(
     }
 
 
+def report_of_counts(counted: DataFrame, top_n: int = 20) -> dict[str, DataFrame]:
+    """The four tables from what ``word_pass`` counted."""
+    rates_ = rates(counted).select("subreddit", "controversy_rate")
+    return {
+        "tfidf_keywords": rank_tfidf(comments_with_word(counted), top_n),
+        "controversy_stats": stats_long(side_statistics(counted)),
+        "subreddit_controversy_rates": rates_.orderBy(F.desc_nulls_last("controversy_rate"), "subreddit"),
+        "keyword_comparison": keyword_comparison(rank_differential(words_by_side(counted))),
+    }
+
+
 def write_report(report: dict[str, DataFrame], path: str, fmt: str = "csv") -> None:
     for name, df in report.items():
         write_table(df, f"{path.rstrip('/')}/{name}", fmt)

@@ -5,7 +5,8 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from parley.operators import controversy, filters, keywords
+from parley.operators import controversy, filters, keywords, wordpass
+from parley.plans.report import build_report
 from parley.plans.tables import comments
 
 PYTHON_ALLOWED = {"near_dup_candidates", "near_dup_pairs", "folded_comments", "opinion_clusters", "opinion_clusters_hierarchical"}
@@ -14,7 +15,7 @@ EAGER = PYTHON_ALLOWED | set(
     "csv_round_trip load_csv_comments load_metrics published_rates hot_ngrams hot_ngrams_demo near_dup_members "
     "stream_window_counts stream_bursts".split()
 )
-EAGER |= {q for q in QUERIES if q.startswith("folded_")}
+EAGER |= {q for q in QUERIES if q.startswith(("folded_", "report_"))}
 
 
 def plans(df):
@@ -43,6 +44,16 @@ def test_keywords_read_and_shuffle_the_words_once(spark, small):
     assert "WindowGroupLimit" in executed
 
 
+def test_the_report_reads_the_texts_once(spark, small):
+    counted = wordpass.word_pass(comments(spark, small, "body", "subreddit", "controversiality", "score"))
+    optimized, executed = plans(counted)
+    assert optimized.count("regexp_extract_all") == 1
+    assert sum("text:string" in schema for schema in re.findall(r"ReadSchema: struct<(.*?)>", executed)) == 1
+    report = build_report(comments(spark, small, "body", "subreddit", "controversiality", "score"), stage=True)
+    for table in report.values():
+        assert "text:string" not in plans(table)[1] and "documents" not in "".join(table.inputFiles())
+
+
 def test_the_null_check_reaches_the_scan(spark, small):
     spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
     executed = plans(filters.analysis_rows(comments(spark, small, "body", "subreddit")))[1]
