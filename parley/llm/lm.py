@@ -4,6 +4,9 @@ Texts become chunks of word numbers. Every chunk sends its different n-grams, wi
 the count tables that their hash belongs to. There the counts of all chunks are added up and joined back to the n-grams
 that each chunk sent, in the order it sent them. The chunk's documents then look up their n-grams
 and add up their scores. A frequent n-gram travels once per chunk, so it cannot burden a part.
+
+What a chunk sends to a part is one row: a block of sorted hashes, stored as differences, with their counts. The more
+parts a corpus needs, the smaller are the blocks, down to one n-gram a row.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from parley.llm.wordtokens import text_groups
 from parley.plans.shipping import ship_package
 from parley.plans.storage import written
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 LEAST_COUNT = 2
 CHUNK_BYTES = 8 << 20
@@ -34,16 +37,33 @@ CHUNK = "chunk string, ids array<bigint>, ends array<bigint>, vocabulary binary,
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Equal bytes of all numbers side by side, compressed: small numbers take little room."""
+    planes = numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpacked(data: bytes, dtype: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def _packed_ascending(hashes: np.ndarray) -> bytes:
+    return _packed(np.diff(hashes, prepend=np.uint64(0)))
+
+
+def _unpacked_ascending(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
+
+
 def _chunk(ids: list, hashes: list[np.ndarray]) -> tuple:
     flat = np.concatenate(hashes)
     vocabulary, numbers, counts = np.unique(flat, return_inverse=True, return_counts=True)
     order = np.argsort(-counts, kind="stable")  # frequent words get small numbers, which compress well
     place = np.empty(len(order), dtype=np.uint32)
     place[order] = np.arange(len(order), dtype=np.uint32)
-    planes = place[numbers].view(np.uint8).reshape(-1, 4).T
-    words = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
     ends = np.cumsum([len(h) for h in hashes]).tolist()
-    return (uuid.uuid4().hex, ids, ends, vocabulary[order].tobytes(), words, len(flat))
+    return (uuid.uuid4().hex, ids, ends, vocabulary[order].tobytes(), _packed(place[numbers]), len(flat))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,8 +90,7 @@ def _grams(chunk: dict, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]
     """For n from 1: the hashes of the n-grams, and the places of their last words."""
     vocabulary = np.frombuffer(chunk["vocabulary"], dtype=np.uint64)
     n = chunk["n_words"]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(chunk["words"]) if n else b"", dtype=np.uint8)
-    words = vocabulary[np.ascontiguousarray(planes.reshape(4, n).T).view(np.uint32).ravel()] if n else np.zeros(0, np.uint64)
+    words = vocabulary[_unpacked(chunk["words"], np.uint32)] if n else np.zeros(0, np.uint64)
     starts = np.repeat(np.array([0] + chunk["ends"][:-1], dtype=np.int64), np.diff([0] + chunk["ends"]))
     hashes, lasts = [mix(words + np.uint64(1))], [np.arange(n)]
     for k in range(2, order + 1):
@@ -87,12 +106,13 @@ def _sent(order: int, bits: int):
         for batch in batches:
             for chunk in batch.to_pylist():
                 grams, counts = np.unique(np.concatenate(_grams(chunk, order)[0]), return_counts=True)
-                bounds = np.searchsorted(grams >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) if bits else [0, len(grams)]
-                rows = []
-                for part in range(1 << bits):
-                    a, b = bounds[part], bounds[part + 1]
-                    if a < b:
-                        rows.append((part, chunk["chunk"], grams[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()))
+                parts = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), dtype=np.int64)
+                present, starts = np.unique(parts, return_index=True)  # parts with nothing from this chunk get no row
+                ends, counts = [*starts[1:], len(grams)], counts.astype(np.uint32)
+                rows = [
+                    (part, chunk["chunk"], _packed_ascending(grams[a:b]), _packed(counts[a:b]))
+                    for part, a, b in zip(present.tolist(), starts, ends)
+                ]
                 if rows:
                     types = [pa.int32(), pa.string(), pa.binary(), pa.binary()]
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
@@ -103,14 +123,14 @@ def _sent(order: int, bits: int):
 
 def _added(rows: pa.Table) -> pa.Table:
     """One part of the count tables: totals for every n-gram that a chunk sent, in its order."""
-    sent = [np.frombuffer(g, dtype=np.uint64) for g in rows.column("grams").to_pylist()]
-    counts = np.concatenate([np.frombuffer(c, dtype="<u4") for c in rows.column("counts").to_pylist()])
+    sent = [_unpacked_ascending(g) for g in rows.column("grams").to_pylist()]
+    counts = np.concatenate([_unpacked(c, np.uint32) for c in rows.column("counts").to_pylist()])
     grams, numbers = np.unique(np.concatenate(sent), return_inverse=True)
     totals = np.zeros(len(grams), dtype=np.int64)
     np.add.at(totals, numbers, counts.astype(np.int64))
     answers = np.split(totals[numbers], np.cumsum([len(s) for s in sent])[:-1])
     return pa.table(
-        [rows.column("part"), rows.column("chunk"), pa.array([a.astype("<i8").tobytes() for a in answers], pa.binary())],
+        [rows.column("part"), rows.column("chunk"), pa.array([_packed(a) for a in answers], pa.binary())],
         ["part", "chunk", "totals"],
     )
 
@@ -120,7 +140,7 @@ def _scored(order: int, n_words: int, backoff: float, least: int):
         rows = rows.to_pylist()
         chunk = next(r for r in rows if r["part"] is None)
         answers = sorted((r for r in rows if r["part"] is not None), key=lambda r: r["part"])
-        totals = np.concatenate([np.frombuffer(r["totals"], dtype="<i8") for r in answers] or [np.zeros(0, dtype="<i8")])
+        totals = np.concatenate([_unpacked(r["totals"], np.int64) for r in answers] or [np.zeros(0, dtype=np.int64)])
         hashes, lasts = _grams(chunk, order)
         every = np.unique(np.concatenate(hashes))
         counts = [totals[np.searchsorted(every, h)] for h in hashes]
@@ -150,7 +170,9 @@ def lm_scores(
     the count of the words before it, if the n-gram occurs ``least_count`` times; else ``backoff`` times the
     score by one word less of context; single words score their share of all words. ``log_score`` adds up the
     natural logarithms. A text without words, null included, scores 0 with a null mean. Repeated rows count as
-    often as they come, null ids like any other. Other columns are not read.
+    often as they come, null ids like any other. An empty table gives no rows. A long text is a chunk of its own, held
+    whole by one task. Other columns are not read. N-grams are known by 64 bits of a hash: among n different ones
+    two share a name with a probability below n^2 / 2^65, and would then share their counts.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))

@@ -22,17 +22,23 @@ def _lm() -> str:
     return f"""
 WITH docs AS (SELECT doc_id, {_words(plain)} AS w FROM documents),
 words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM docs),
-pairs AS (SELECT doc_id, i, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM words),
-ones AS (SELECT word, count(*) AS n FROM words GROUP BY word),
-twos AS (SELECT before, word, count(*) AS n FROM pairs WHERE before IS NOT NULL GROUP BY before, word),
+threes AS (
+  SELECT doc_id, i, word, lag(word) OVER v AS b, lag(word, 2) OVER v AS a FROM words WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+n1 AS (SELECT word, count(*) AS n FROM words GROUP BY word),
+n2 AS (SELECT b, word, count(*) AS n FROM threes WHERE b IS NOT NULL GROUP BY b, word),
+n3 AS (SELECT a, b, word, count(*) AS n FROM threes WHERE a IS NOT NULL GROUP BY a, b, word),
 total AS (SELECT count(*) AS n FROM words),
+s1 AS (SELECT word, ln(n1.n / total.n) AS s FROM n1 CROSS JOIN total),
+s2 AS (
+  SELECT n2.b, n2.word, n2.n, CASE WHEN n2.n >= {lm.LEAST_COUNT} THEN ln(n2.n / c.n) ELSE ln({lm.BACKOFF}::DOUBLE) + s1.s END AS s
+  FROM n2 JOIN n1 c ON n2.b = c.word JOIN s1 ON n2.word = s1.word),
+s3 AS (
+  SELECT n3.a, n3.b, n3.word, CASE WHEN n3.n >= {lm.LEAST_COUNT} THEN ln(n3.n / c.n) ELSE ln({lm.BACKOFF}::DOUBLE) + s2.s END AS s
+  FROM n3 JOIN n2 c ON n3.a = c.b AND n3.b = c.word JOIN s2 ON n3.b = s2.b AND n3.word = s2.word),
 scored AS (
-  SELECT p.doc_id,
-    CASE WHEN p.before IS NULL THEN ln(o.n / total.n)
-         WHEN t.n >= {lm.LEAST_COUNT} THEN ln(t.n / c.n)
-         ELSE ln({lm.BACKOFF}::DOUBLE) + ln(o.n / total.n) END AS s
-  FROM pairs p CROSS JOIN total JOIN ones o ON p.word = o.word
-  LEFT JOIN ones c ON p.before = c.word LEFT JOIN twos t ON p.before = t.before AND p.word = t.word)
+  SELECT t.doc_id, coalesce(s3.s, s2.s, s1.s) AS s
+  FROM threes t JOIN s1 ON t.word = s1.word LEFT JOIN s2 ON t.b = s2.b AND t.word = s2.word
+  LEFT JOIN s3 ON t.a = s3.a AND t.b = s3.b AND t.word = s3.word)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(s.total, 0), 3) AS log_score,
        CASE WHEN len(d.w) > 0 THEN round(s.total / len(d.w), 6) END AS mean_log_score
 FROM docs d LEFT JOIN (SELECT doc_id, sum(s) AS total FROM scored GROUP BY doc_id) s ON d.doc_id = s.doc_id"""

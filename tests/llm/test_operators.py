@@ -203,7 +203,7 @@ def test_url_filters(spark):
 
 def test_lm_scores_by_hand(spark):
     docs = spark.createDataFrame([(1, "A b. a b"), (2, "a c"), (3, None)], "doc_id bigint, text string")
-    found = {r.doc_id: r for r in lm.lm_scores(docs).collect()}
+    found = {r.doc_id: r for r in lm.lm_scores(docs, order=2).collect()}
     a, seen = np.log(3 / 6), np.log(2 / 3)
     assert found[1].log_score == pytest.approx(a + seen + np.log(0.4) + a + seen)
     assert found[2].log_score == pytest.approx(a + np.log(0.4) + np.log(1 / 6))
