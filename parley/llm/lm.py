@@ -92,11 +92,12 @@ def _grams(chunk: dict, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]
     n = chunk["n_words"]
     words = vocabulary[_unpacked(chunk["words"], np.uint32)] if n else np.zeros(0, np.uint64)
     starts = np.repeat(np.array([0] + chunk["ends"][:-1], dtype=np.int64), np.diff([0] + chunk["ends"]))
-    hashes, lasts = [mix(words + np.uint64(1))], [np.arange(n)]
+    hashes, lasts = [mix(words + np.uint64(1))], [np.arange(n, dtype=np.int32)]
+    at = np.zeros(n, dtype=np.uint64)
     for k in range(2, order + 1):
-        last = lasts[-1][lasts[-1] - starts[lasts[-1]] >= k - 1] if n else lasts[-1]
-        before = hashes[-1][np.searchsorted(lasts[-1], last - 1)]
-        hashes.append(mix(before * _MULTIPLIER + words[last] + np.uint64(k)))
+        last = lasts[-1][lasts[-1] - starts[lasts[-1]] >= k - 1]
+        at[lasts[-1]] = hashes[-1]
+        hashes.append(mix(at[last - 1] * _MULTIPLIER + words[last] + np.uint64(k)))
         lasts.append(last)
     return hashes, lasts
 
@@ -142,13 +143,15 @@ def _scored(order: int, n_words: int, backoff: float, least: int):
         answers = sorted((r for r in rows if r["part"] is not None), key=lambda r: r["part"])
         totals = np.concatenate([_unpacked(r["totals"], np.int64) for r in answers] or [np.zeros(0, dtype=np.int64)])
         hashes, lasts = _grams(chunk, order)
-        every = np.unique(np.concatenate(hashes))
-        counts = [totals[np.searchsorted(every, h)] for h in hashes]
+        # The totals come in the order of the different hashes; every position takes its own.
+        numbers = np.unique(np.concatenate(hashes), return_inverse=True)[1]
+        counts = np.split(totals[numbers], np.cumsum([len(h) for h in hashes])[:-1])
         score = np.log(counts[0] / max(n_words, 1))
+        at = np.zeros(chunk["n_words"], dtype=np.int64)
         for k in range(1, order):
             # Seen often enough: count / count of what comes before; else the shorter n-gram, discounted.
-            context = counts[k - 1][np.searchsorted(lasts[k - 1], lasts[k] - 1)]
-            seen = np.log(counts[k] / context)
+            at[lasts[k - 1]] = counts[k - 1]
+            seen = np.log(counts[k] / at[lasts[k] - 1])
             score[lasts[k]] = np.where(counts[k] >= least, seen, np.log(backoff) + score[lasts[k]])
         sums = np.concatenate([[0.0], np.cumsum(score)])
         ends = np.array([0] + chunk["ends"])
