@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from parley.llm.shingles import mix, word_hashes
 from parley.llm.wordtokens import text_groups
 from parley.plans.shipping import ship_package
-from parley.plans.storage import written
+from parley.plans.storage import shuffles_dropped, written
 
 ORDER = 3
 BACKOFF = 0.4
@@ -183,7 +183,9 @@ def lm_scores(
     n_words = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     bits = max(0, (-(-n_words * order // PART_GRAMS) - 1).bit_length())
     sent = chunks.mapInArrow(_sent(order, bits), "part int, chunk string, grams binary, counts binary")
-    added = sent.groupBy("part").applyInArrow(_added, "part int, chunk string, totals binary")
+    with shuffles_dropped(docs.sparkSession):
+        # Written, the totals outlive the n-grams that were sent, which take most of the room.
+        added = written(sent.groupBy("part").applyInArrow(_added, "part int, chunk string, totals binary"), "lm-totals")
     waiting = chunks.select(
         F.lit(None).cast("int").alias("part"), "chunk", F.lit(None).cast("binary").alias("totals"),
         "ids", "ends", "vocabulary", "words", "n_words",
