@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.ngram_join import key_components
-from parley.llm.shingles import bands_for, minhash_keys, mix, shingle_set, word_hashes
+from parley.llm.shingles import LOWER, bands_for, minhash_keys, mix, shingle_hashes, shingle_set
 from parley.llm.wordtokens import text_groups
 from parley.operators.skew import salted_join
 from parley.plans.shipping import ship_package
@@ -34,7 +35,7 @@ THRESHOLD = Fraction(4, 5)
 RECALL = 0.99
 PIECE = 25
 WINDOW = 26
-PIECES = "id bigint, piece bigint, start bigint, place bigint, last_place bigint"
+SCANNED = ("id", "place", "n_words", "node", "keys", "piece", "start", "last_place")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,32 +52,86 @@ def _named(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
 
 
-def _sketches(shingle: int, least: int, bands: int, rows: int):
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windowed(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """The smallest or largest of every ``width`` neighbours, by doubling."""
+    done = 1
+    while 2 * done <= width:
+        x, done = best(x[:-done], x[done:]), 2 * done
+    return best(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
+
+
+def _runs(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of ``width`` words, put together from runs of 1, 2, 4 and so on."""
+    powers = [mix(h + np.uint64(width))]
+    while 2 << len(powers) <= 2 * width:
+        x, step = powers[-1], 1 << (len(powers) - 1)
+        powers.append(mix(x[:-step] * _MULTIPLIER + x[step:]))
+    n, run, done = len(h) - width + 1, None, 0
+    for k in reversed(range(len(powers))):
+        if width >> k & 1:
+            part = powers[k][done : done + n]
+            run = part.copy() if run is None else mix(run * _MULTIPLIER + part)
+            done += 1 << k
+    return run
+
+
+def _piece_starts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pieces of a text with these words, and the numbers of their first words."""
+    if len(h) < PIECE + WINDOW - 1:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    runs = _runs(h, PIECE)
+    smallest = _windowed(runs, WINDOW, np.minimum)
+    # A run is a piece if it is the smallest of a window that it lies in; equal runs are so alike.
+    edge = np.zeros(WINDOW - 1, dtype=np.uint64)
+    starts = np.flatnonzero(runs <= _windowed(np.concatenate([edge, smallest, edge]), WINDOW, np.maximum))
+    return runs[starts].view(np.int64), starts
+
+
+def _scanned(shingle: int, least: int, bands: int, rows: int):
+    """One reading of the texts: a row per line with enough words, and a row per piece."""
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id")
             for first, texts in text_groups(batch, "text", 1 << 20):
-                owners, places, words, sets = [], [], [], []
-                for k, text in enumerate(texts):
-                    for place, line, n in _paragraphs(text, least):
-                        owners.append(first + k)
-                        places.append(place)
-                        words.append(n)
-                        sets.append(shingle_set(line, shingle))
-                keys = minhash_keys(sets, bands, rows)
-                offsets = np.arange(0, keys.size + 1, bands, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(pa.array(owners, pa.int64())),
-                        pa.array(places, pa.int64()),
-                        pa.array(words, pa.int64()),
-                        pa.array([_named(s) for s in sets], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
-                    ],
-                    ["id", "place", "n_words", "node", "keys"],
-                )
-
-    return sketch
+                yield from _scanned_group(ids, first, texts, shingle, least, bands, rows)
+
+    return scanned
+
+
+def _scanned_group(
+    ids: pa.Array, first: int, texts: list[bytes], shingle: int, least: int, bands: int, rows: int
+) -> Iterator[pa.RecordBatch]:
+    split = [[line.split() for line in text.translate(LOWER).split(b"\n")] for text in texts]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(chain.from_iterable(split))), dtype=np.uint64)
+    shingles = shingle_hashes(h, shingle)
+    lines, sets, columns, at = [], [], [[np.zeros(0, dtype=np.int64)] for _ in range(5)], 0
+    for k, text in enumerate(split):
+        ends = np.cumsum([len(line) for line in text])
+        for place, (end, line) in enumerate(zip((ends + at).tolist(), text)):
+            n = len(line)
+            if n >= least:
+                lines.append((first + k, place, n))
+                sets.append(np.unique(shingles[end - n : end - shingle + 1] if n >= shingle else shingle_hashes(h[end - n : end], n)))
+        pieces, starts = _piece_starts(h[at : at + ends[-1]])
+        places = [np.searchsorted(ends, x, side="right") for x in (starts, starts + PIECE - 1)]
+        for column, x in zip(columns, (np.full(len(starts), first + k), pieces, starts, *places)):
+            column.append(x)
+        at += int(ends[-1])
+    keys = minhash_keys(sets, bands, rows)
+    owners, places, words = (pa.array(c, pa.int64()) for c in (zip(*lines) if lines else ([], [], [])))
+    named = pa.array([_named(s) for s in sets], pa.int64())
+    keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
+    yield _rows(id=ids.take(owners), place=places, n_words=words, node=named, keys=keys)
+    owners, pieces, starts, places, lasts = (pa.array(np.concatenate(c), pa.int64()) for c in columns)
+    yield _rows(id=ids.take(owners), place=places, piece=pieces, start=starts, last_place=lasts)
+
+
+def _rows(**columns: pa.Array) -> pa.RecordBatch:
+    """A batch of ``SCANNED`` rows, null where no column is given."""
+    n = len(columns["id"])
+    types = {c: pa.list_(pa.int64()) if c == "keys" else pa.int64() for c in SCANNED}
+    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, t)) for c, t in types.items()], list(SCANNED))
 
 
 def _sets(shingle: int, least: int):
@@ -94,42 +149,15 @@ def _sets(shingle: int, least: int):
     return sets
 
 
-def _piece_starts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's pieces, and the numbers of their first words."""
-    h = word_hashes(text)
-    n = len(h) - PIECE + 1
-    if n < WINDOW:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    runs = np.full(n, PIECE, dtype=np.uint64)
-    for k in range(PIECE):
-        runs = mix(runs * _MULTIPLIER + h[k : n + k])
-    smallest = np.lib.stride_tricks.sliding_window_view(runs, WINDOW).argmin(axis=1)
-    starts = np.unique(smallest + np.arange(len(smallest)))
-    return runs[starts].view(np.int64), starts
-
-
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("id")
-        for first, texts in text_groups(batch, "text", 1 << 20):
-            columns = [[np.zeros(0, dtype=np.int64)] for _ in range(5)]
-            for k, text in enumerate(texts):
-                pieces, starts = _piece_starts(text)
-                if not len(pieces):
-                    continue
-                ends = np.cumsum([len(line.split()) for line in text.split(b"\n")])
-                places = [np.searchsorted(ends, at, side="right") for at in (starts, starts + PIECE - 1)]
-                for column, x in zip(columns, (np.full(len(starts), first + k), pieces, starts, *places)):
-                    column.append(x)
-            owners, *rest = (pa.array(np.concatenate(c), pa.int64()) for c in columns)
-            yield pa.RecordBatch.from_arrays([ids.take(owners), *rest], ["id", "piece", "start", "place", "last_place"])
-
-
-def _repeated_pieces(rows: DataFrame, removed: DataFrame) -> DataFrame:
+def _repeated_pieces(pieces: DataFrame, removed: DataFrame) -> DataFrame:
     """The pieces that another document has too. Those in lines that go anyway, ``removed (id, place)``, do not count."""
+    # Most pieces have one document only and need not meet the lines.
+    several = pieces.groupBy("piece").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
+    several = written(several.filter("a < b").select("piece", "n"), "pieces-of-several")
     gone = removed.groupBy("id").agg(F.collect_set("place").alias("gone"))
     within = F.exists("gone", lambda x: (x >= F.col("place")) & (x <= F.col("last_place")))
-    left = rows.mapInArrow(_pieces, PIECES).join(gone, "id", "left").filter(~F.coalesce(within, F.lit(False)))
+    left = salted_join(pieces, several.select("piece"), "piece", several).join(gone, "id", "left")
+    left = left.filter(~F.coalesce(within, F.lit(False)))
     pieces = written(left.select("id", "piece", "start", "place"), "pieces")
     keep = F.min(F.struct("id", "start", "place")).alias("keep")
     clusters = pieces.groupBy("piece").agg(keep, F.max("id").alias("last"), F.count("*").alias("n")).filter("keep.id < last")
@@ -157,8 +185,10 @@ def repeated_passages(
     shared_dir(spark)
     bands, band_rows = bands_for(float(threshold), recall)
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).filter("id is not null")
-    schema = "id bigint, place bigint, n_words bigint, node bigint, keys array<bigint>"
-    paragraphs = written(rows.mapInArrow(_sketches(shingle, least_words, bands, band_rows), schema), "paragraphs")
+    schema = ", ".join(f"{c} {'array<bigint>' if c == 'keys' else 'bigint'}" for c in SCANNED)
+    scanned = written(rows.mapInArrow(_scanned(shingle, least_words, bands, band_rows), schema), "paragraphs")
+    paragraphs = scanned.filter("node is not null").select("id", "place", "n_words", "node", "keys")
+    pieces = scanned.filter("piece is not null").select("id", "piece", "start", "place", "last_place")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         first = paragraphs.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "place")).alias("at"))
@@ -193,7 +223,7 @@ def repeated_passages(
         F.lit(None).cast("bigint").alias("start_word"),
     )
     lines = written(lines, "passage-lines")
-    pieces = _repeated_pieces(rows, lines.filter("removed").select(F.col(id_column).alias("id"), F.col("paragraph").alias("place")))
+    pieces = _repeated_pieces(pieces, lines.filter("removed").select(F.col(id_column).alias("id"), F.col("paragraph").alias("place")))
     return lines.unionByName(
         pieces.select(
             F.col("id").alias(id_column),

@@ -28,16 +28,21 @@ def word_hashes(text: bytes, table: bytes = LOWER) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
+def shingle_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words, one for each place where a run begins."""
+    n = max(len(h) - size + 1, 0)
+    s = np.full(n, size, dtype=np.uint64)
+    for k in range(size):
+        s = mix(s * _A + h[k : n + k])
+    return s
+
+
 def shingle_set(text: bytes, size: int) -> np.ndarray:
     """The distinct shingles of ``size`` words, sorted; a shorter text is one shingle, no words are none."""
     h = word_hashes(text)
     if not len(h):
         return h
-    size = min(size, len(h))
-    s = np.full(len(h) - size + 1, size, dtype=np.uint64)
-    for k in range(size):
-        s = mix(s * _A + h[k : len(h) - size + 1 + k])
-    return np.unique(s)
+    return np.unique(shingle_hashes(h, min(size, len(h))))
 
 
 def most_differing(largest: int, threshold: Fraction) -> int:
