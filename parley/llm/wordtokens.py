@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -119,19 +119,28 @@ class WordTokens:
         ids = np.fromiter(chain.from_iterable(found), dtype=np.uint32)
         return ids, np.cumsum([0] + [len(x) for x in found])
 
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of all words; those not seen before are learned."""
+        places = np.fromiter(map(self.places.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        missing = np.flatnonzero(places < 0).tolist()
+        if not missing:
+            return places
+        unknown = {words[k] for k in missing}
+        before = len(self.places)
+        self._learn(unknown)
+        if len(self.places) < before + len(unknown):  # what was known before has just been forgotten
+            self._learn(set(words).difference(unknown))
+            return np.fromiter(map(self.places.__getitem__, words), dtype=np.int64, count=len(words))
+        places[missing] = [self.places[words[k]] for k in missing]
+        return places
+
     def encode(self, texts: list[bytes], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's ids begin, with the total last."""
         if not self.by_words:
             return self._encoded_whole(texts, end_id)
         split = [text.split() for text in texts]  # bytes.split: ASCII white space only
         words = list(chain.from_iterable(split))
-        every = set(words)
-        unknown = every.difference(self.places)
-        if unknown:
-            self._learn(unknown)
-            if len(self.places) == len(unknown) < len(every):  # what was known before has just been forgotten
-                self._learn(every.difference(unknown))
-        places = np.fromiter(map(self.places.__getitem__, words), dtype=np.int64, count=len(words))
+        places = self._places(words)
         pieces = self.parts[places].ravel()
         lengths = self.lengths[pieces]
         ends = np.cumsum(lengths)
