@@ -129,7 +129,8 @@ class WordTokens:
         before = len(self.places)
         self._learn(unknown)
         if len(self.places) < before + len(unknown):  # what was known before has just been forgotten
-            self._learn(set(words).difference(unknown))
+            self._forget()
+            self._learn(set(words))  # all in one, so that none is forgotten in between
             return np.fromiter(map(self.places.__getitem__, words), dtype=np.int64, count=len(words))
         places[missing] = [self.places[words[k]] for k in missing]
         return places

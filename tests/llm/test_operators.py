@@ -231,6 +231,15 @@ def test_pipeline_stages_on_odd_rows(spark, docs):
         assert stage(spark, rows, "").columns == rows.columns, name
 
 
+def test_word_tokens_that_forget(encoded, monkeypatch):
+    monkeypatch.setattr(wordtokens, "MOST_WORDS", 6)
+    tokens = wordtokens.WordTokens(tokenizer())
+    for some in (["a b c", "d e"], ["a b c d e f g h i j"], ["x a y b z c w d", "a b q r s t u v"], ["a", "new words x"]):
+        ids, bounds = tokens.encode([t.encode() for t in some], 1)
+        for k, text in enumerate(some):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == encoded(text).tolist()
+
+
 def test_word_tokens_of_odd_letters_equal_whole_texts(encoded):
     """Random texts of letters whose lower case is more than letters, combining marks, marks and odd spaces."""
     rng = np.random.default_rng(11)
