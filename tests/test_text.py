@@ -101,3 +101,10 @@ def test_staged_column_is_computed_once(spark):
 def test_shingles_are_all_pieces(spark, k, texts):
     expected = [sorted({t[i : i + k] for i in range(len(t) - k + 1)} or ({t} - {""})) for t in texts]
     assert column(spark, texts, lambda t: F.array_sort(tx.split_shingles(t, k))) == expected
+
+
+def test_shingles_come_in_byte_order(spark):
+    texts = ["bcabcab", "ab", "", None, "né na né", "𝄞é￿ab"]
+    for k in (2, 3, 9):
+        want = [sorted({t[i : i + k] for i in range(max(len(t) - k, 0) + 1)} - {""}, key=str.encode) if t else [] for t in texts]
+        assert column(spark, texts, lambda t: tx.split_shingles(t, k)) == want
