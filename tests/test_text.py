@@ -108,3 +108,14 @@ def test_shingles_come_in_byte_order(spark):
     for k in (2, 3, 9):
         want = [sorted({t[i : i + k] for i in range(max(len(t) - k, 0) + 1)} - {""}, key=str.encode) if t else [] for t in texts]
         assert column(spark, texts, lambda t: tx.split_shingles(t, k)) == want
+
+
+def test_steps_are_skipped_only_where_they_change_nothing(spark):
+    texts = ["a:--b > c", ">q\n@me ** x**", "&#38 &#x; &amp", "http:/a ://b https://c", "  a  .  b  ", "aaaa\n\n\n\nb", "|a|\n|b"]
+    plain = lambda t: F.trim(tx.clean_text(t))
+    needed, tx.NEEDED = tx.NEEDED, {}
+    try:
+        want = column(spark, texts, plain) + column(spark, texts, tx.clean_again)
+    finally:
+        tx.NEEDED = needed
+    assert column(spark, texts, plain) + column(spark, texts, tx.clean_again) == want
