@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from parley.llm.wordtokens import text_groups
 from parley.operators.components import connected_components
 from parley.operators.skew import salted_join
 from parley.plans.shipping import ship_package
-from parley.plans.storage import shared_dir, shuffles_dropped, written
+from parley.plans.storage import dropped, shared_dir, shuffles_dropped, written, written_in_buckets
 
 GROUP = 128  # members of a group of the matrix
 QUERIES = 1024  # queries that a group takes at once
@@ -40,22 +41,32 @@ def _name(s: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) if len(s) else None
 
 
-def _sketches(size: int, threshold: Fraction):
+def _sketches(size: int, threshold: Fraction, portions: int):
+    """Per text its id, size, node and the keys of its set, in a column for each portion of the 64-bit numbers."""
+    columns = ["id", "n_shingles", "node", *[f"keys{k}" for k in range(portions)]]
+    ends = np.array([(k << 64) // portions for k in range(1, portions)], dtype=np.uint64)
+
+    def portion(keys: list[np.ndarray], bounds: list[list[int]], k: int) -> pa.Array:
+        parts = [x[b[k] : b[k + 1]] for x, b in zip(keys, bounds)]
+        offsets = np.cumsum([0] + [len(x) for x in parts]).astype(np.int32)
+        flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in text_groups(batch, "text"):
                 sets = [shingle_set(text, size) for text in texts]
                 keys = [shared_keys(s, threshold) for s in sets]
-                offsets = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
-                flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
+                # Keys ascend as unsigned numbers.
+                bounds = [[0, *np.searchsorted(k.view(np.uint64), ends).tolist(), len(k)] for k in keys]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(first, len(texts)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_name(s) for s in sets], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                        *[portion(keys, bounds, k) for k in range(portions)],
                     ],
-                    ["id", "n_shingles", "node", "keys"],
+                    columns,
                 )
 
     return sketch
@@ -64,10 +75,14 @@ def _sketches(size: int, threshold: Fraction):
 def _sets(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in text_groups(batch, "text"):
+            for first, texts in text_groups(batch, "text"):
                 found = [shingle_set(text, size) for text in texts]
-                columns = [pa.array([_name(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "shingles"])
+                columns = [
+                    batch.column("id").slice(first, len(texts)),
+                    pa.array([_name(s) for s in found], pa.int64()),
+                    pa.array([s.tobytes() for s in found], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["_at", "_node", "shingles"])
 
     return sets
 
@@ -106,6 +121,16 @@ def _open_groups(threshold: Fraction):
     return opened
 
 
+def _linked(requests: DataFrame, members: DataFrame, portions: int, *args) -> DataFrame:
+    """``_links``, written, a portion of the groups at a time: the sets of one portion travel and go before the next."""
+    of = lambda rows, k: rows.filter(F.pmod(F.xxhash64("group"), F.lit(portions)) == k) if portions > 1 else rows
+    return _union([written(_links(of(requests, k), of(members, k), *args), "links") for k in range(portions)])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _links(requests: DataFrame, members: DataFrame, sets: DataFrame, threshold: Fraction, shares: bool) -> DataFrame:
     """Links ``(a, b)`` between the components of the queries of ``requests`` and of the ``members``.
 
@@ -134,28 +159,35 @@ def _grouped(nodes: DataFrame, by: str) -> DataFrame:
     return dealt.select(by, "node", F.xxhash64(F.col(by), part).alias("group"))
 
 
-def key_components(spread: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: Fraction) -> DataFrame:
+def key_components(spread: list[DataFrame], sets_of: Callable[[DataFrame], DataFrame], threshold: Fraction) -> DataFrame:
     """``(node, component)`` of the nodes that link with another; links are sought among nodes with a key in common.
 
-    ``spread`` has a row ``(node, key)`` for every key; ``sets_of`` gives ``(node, shingles)`` of wanted nodes.
+    ``spread`` has a row ``(node, key)`` for every key, in tables without a key in common; they are worked on one after the
+    other, and the links in as many portions, so that less is on disk at once. When ``sets_of`` is asked for ``(node, shingles)``
+    of wanted nodes, ``spread`` is no longer read. It may give a table whose buckets are by node, which then need not move.
     """
-    with shuffles_dropped(spread.sparkSession):
+    with shuffles_dropped(spread[0].sparkSession):
         return _key_components(spread, sets_of, threshold)
 
 
-def _key_components(spread: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: Fraction) -> DataFrame:
+def _key_nodes(spread: DataFrame) -> DataFrame:
+    """``(key, node, lead)`` of the keys that several nodes have; the lead is the smallest of them."""
     shared = spread.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("_last"), F.count("*").alias("n"))
     shared = written(shared.filter("lead < _last").select("key", "lead", "n"), "shared-keys")
     met = salted_join(spread, shared.select("key", "lead"), "key", shared)
-    met = written(met.groupBy("key", "node").agg(F.any_value("lead").alias("lead")), "key-nodes")
-    sets = written(sets_of(met.select("node").distinct()), "shingle-sets")
+    return written(met.groupBy("key", "node").agg(F.any_value("lead").alias("lead")), "key-nodes")
+
+
+def _key_components(spread: list[DataFrame], sets_of: Callable[[DataFrame], DataFrame], threshold: Fraction) -> DataFrame:
+    portions = len(spread)
+    met = _union([_key_nodes(part) for part in spread])
+    sets = sets_of(met.select("node").distinct())
 
     followers = met.filter("node <> lead").select("lead", "node").distinct()
     groups = written(_grouped(followers, "lead"), "groups")
     own = F.col("node").alias("component")  # so far every node is a component of its own
     requests = groups.select("group", F.col("lead").alias("node")).distinct()
-    links = _links(requests.select("*", own), groups.select("group", "node", own), sets, threshold, shares=False)
-    links = written(links, "links")
+    links = _linked(requests.select("*", own), groups.select("group", "node", own), portions, sets, threshold, False)
     components = written(connected_components(links), "components")
 
     named = met.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -173,8 +205,9 @@ def _key_components(spread: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     key_homes = named.join(homes.select("node", "home"), "node").select("key", "home").distinct()
     asked = outside.join(key_homes, "key").select("home", "node", "component").distinct()
     requests = asked.join(members.select("home", "group").distinct(), "home").select("group", "node", "component")
-    more = _links(requests, members.select("group", "node", "component"), sets, threshold, shares=True)
-    more = written(more.distinct(), "links")
+    requests = written(requests, "requests") if portions > 1 else requests
+    more = _linked(requests, members.select("group", "node", "component"), portions, sets, threshold, True).distinct()
+    more = written(more, "links")
     return components if more.isEmpty() else _merged(components, more)
 
 
@@ -190,7 +223,7 @@ def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
 
 def ngram_components(
     docs: DataFrame, shingle: int = 3, threshold: Fraction = Fraction(9, 10),
-    id_column: str = "doc_id", text_column: str = "text",
+    id_column: str = "doc_id", text_column: str = "text", portions: int = 1,
 ) -> DataFrame:
     """Per row of ``docs``: id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
@@ -198,23 +231,42 @@ def ngram_components(
     their shingle sets is at least ``threshold``. A text with fewer words than a shingle is one shingle; null and
     empty texts have none and link with nothing, so each is its own component. Repeated rows are equal
     documents; a null id is never the smallest unless a component has no other. Other columns are not read.
+    Keys, sets and groups are dealt to so many ``portions`` that follow each other: more of them need less disk and more jobs.
     """
     spark = docs.sparkSession
     ship_package(spark)
     shared_dir(spark)
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
-    schema = "id bigint, n_shingles bigint, node bigint, keys array<bigint>"
-    sketches = written(rows.mapInArrow(_sketches(shingle, threshold), schema), "shingle-sketches")
+    keys = [f"keys{k}" for k in range(portions)]
+    schema = ", ".join(["id bigint, n_shingles bigint, node bigint", *[f"{k} array<bigint>" for k in keys]])
+    keyed = written(rows.mapInArrow(_sketches(shingle, threshold, portions), schema), "shingle-keys")
+    sketches = written(keyed.drop(*keys), "shingle-sketches")
     nodes = sketches.filter("node is not null")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """The texts of nodes that share a key are read again, each from the row with its smallest id."""
-        first = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("_id")).select("_id").distinct()
-        texts = rows.join(first, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
-        found = texts.mapInArrow(_sets(shingle), "node bigint, shingles binary").join(wanted, "node", "left_semi")
+        dropped(spark, keyed)  # its shared keys are in tables of their own
+        first = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("_id"))
+        first = written(first, "first-ids")
+        return sets_in_portions(first) if portions > 1 else written(found_sets(rows, first), "shingle-sets")
+
+    def found_sets(rows: DataFrame, first: DataFrame) -> DataFrame:
+        texts = rows.join(first.select("_id").distinct(), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+        found = texts.mapInArrow(_sets(shingle), "_at bigint, _node bigint, shingles binary")
+        # Rows with one id may be of several nodes: each node is taken where its own smallest id is.
+        found = found.join(first, (F.col("_node") == F.col("node")) & F.col("_at").eqNullSafe(F.col("_id")))
         return found.groupBy("node").agg(F.any_value("shingles").alias("shingles"))
 
-    components = key_components(nodes.select("node", F.explode("keys").alias("key")), sets_of, threshold)
+    def sets_in_portions(first: DataFrame) -> DataFrame:
+        of = lambda rows, column, k: rows.filter(F.pmod(F.xxhash64(column), F.lit(portions)) == k)
+        parts = (found_sets(of(rows, "id", k), of(first, "_id", k)) for k in range(portions))
+        sets.append(written_in_buckets(parts, "node", "shingle-sets"))
+        return sets[-1]
+
+    spread = [keyed.filter("node is not null").select("node", F.explode(k).alias("key")) for k in keys]
+    sets: list[DataFrame] = []
+    components = key_components(spread, sets_of, threshold)
+    dropped(spark, *sets)
     ids = nodes.groupBy("node").agg(F.min("id").alias("_id"), F.count("*").alias("n"))
     ids = written(ids.join(components, "node", "left").select("node", "_id", "n", F.coalesce("component", "node").alias("c")), "node-ids")
     smallest = ids.groupBy("c").agg(F.min("_id").alias("component_id"), F.count("*").alias("n"))
@@ -231,7 +283,7 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: st
     Rows without words link with nothing and all stay. An empty table stays empty. Columns may have any name.
     """
     whole = F.struct(*[F.col(c) for c in docs.columns])
-    rows = written(docs.select(F.monotonically_increasing_id().alias("number"), whole.alias("row")), "numbered-rows")
+    rows = written(docs.select(F.monotonically_increasing_id().alias("number"), whole.alias("row")), "numbered-rows", "zstd")
     texts = rows.select("number", F.col("row")[text_column].alias("text"))
     found = ngram_components(texts, id_column="number", text_column="text", **options)
     shared = found.filter(F.col("n_shingles") > 0).select("number", "component_id")

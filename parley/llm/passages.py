@@ -194,10 +194,11 @@ def repeated_passages(
         first = paragraphs.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "place")).alias("at"))
         places = first.groupBy(F.col("at.id").alias("id")).agg(F.collect_set("at.place").alias("places"))
         found = rows.join(places, "id").mapInArrow(_sets(shingle, least_words), "node bigint, shingles binary")
-        return found.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+        found = found.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+        return written(found, "shingle-sets")
 
     spread = paragraphs.select("node", F.explode("keys").alias("key"))
-    components = key_components(spread, sets_of, threshold)
+    components = key_components([spread], sets_of, threshold)
     at = F.struct("id", "place")
     nodes = paragraphs.groupBy("node").agg(F.min(at).alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
     nodes = written(
