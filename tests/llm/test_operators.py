@@ -240,6 +240,17 @@ def test_word_tokens_that_forget(encoded, monkeypatch):
             assert ids[bounds[k] : bounds[k + 1]].tolist() == encoded(text).tolist()
 
 
+def test_word_tokens_seen_again_are_not_forgotten(monkeypatch, encoded):
+    monkeypatch.setattr(wordtokens, "MOST_WORDS", 60)
+    tokens = wordtokens.WordTokens(tokenizer())
+    for k in range(12):
+        text = "The cat, again " + " ".join(f"w{'abcdefghijkl'[k]}{c}" for c in "abcdefghijklmno")
+        ids, bounds = tokens.encode([text.encode()], 1)
+        assert ids.tolist() == encoded(text).tolist()
+        assert k == 0 or {"The", "cat,", "again"} <= tokens.places.keys()
+        assert len(tokens.places) <= 60
+
+
 def test_word_tokens_of_odd_letters_equal_whole_texts(encoded):
     """Random texts of letters whose lower case is more than letters, combining marks, marks and odd spaces."""
     rng = np.random.default_rng(11)
