@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from parley.operators.skew import salted_join
 from parley.plans.shipping import ship_package
-from parley.plans.storage import shared_dir, written
+from parley.plans.storage import set_to, shared_dir, shuffles_dropped, written
 
 TRIE_PHRASES = 1 << 20  # phrases of one trie
 FILTER_BITS = 24  # the table of frequent words has 2^24 bits, 2 MB
@@ -32,6 +33,8 @@ CHUNK_BYTES = 1 << 21  # of text that is in words at a time
 DENSE_SLOTS = 1 << 20  # so many slots are counted as a plain vector
 WINDOW = 1 << 19  # words that NumPy looks at in one step
 HELD_COUNTS = 1 << 20  # counts that a task holds before it sends them on
+TEXTS_AT_ONCE = 2000  # rows of a batch that a worker gets
+SENT_AT_ONCE = 1 << 16  # rows of a batch that a worker sends
 END, TEXT_END = b".", b"!"
 #: Capitals become small, marks and line ends become the end of a piece, a tab becomes a space; other bytes stay.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\x0b\f\r" else 32 if c == 9 else c for c in range(256))
@@ -119,8 +122,11 @@ def _numbered(seed: int):
 
     def counted(lexicons: dict[str, _Lexicon]) -> Iterator[pa.RecordBatch]:
         for lang, lexicon in lexicons.items():
-            words = [w.decode() for w in lexicon.places][2:]
-            yield rows({"lang": [lang] * len(words), "word": words, "hash": lexicon.hashes[2:], "n": lexicon.counts[2:]})
+            words = [w.decode() for w in lexicon.places]
+            for k in range(2, len(words), SENT_AT_ONCE):
+                some = slice(k, k + SENT_AT_ONCE)
+                part = words[some]
+                yield rows({"lang": [lang] * len(part), "word": part, "hash": lexicon.hashes[some], "n": lexicon.counts[some]})
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicons: dict[str, _Lexicon] = {}
@@ -191,6 +197,11 @@ class _Counts:
         return keys, counts
 
 
+def _in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for k in range(0, batch.num_rows, SENT_AT_ONCE):
+        yield batch.slice(k, SENT_AT_ONCE)
+
+
 def _phrase_rows(phrases: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     """``(words, n)`` from a table with a row of word hashes for each phrase."""
     ends = np.arange(0, phrases.size + 1, phrases.shape[1], dtype=np.int32)
@@ -219,7 +230,7 @@ def _pairs(frequent):
             known, places = np.unique(words[np.concatenate([at, at + 1])], return_inverse=True)
             keys, counts = np.unique(places[: len(at)] * len(known) + places[len(at) :], return_counts=True)
             if len(keys):
-                yield _phrase_rows(np.stack([known[keys // len(known)], known[keys % len(known)]], axis=1), counts)
+                yield from _in_parts(_phrase_rows(np.stack([known[keys // len(known)], known[keys % len(known)]], axis=1), counts))
 
     return pairs
 
@@ -354,21 +365,31 @@ class PhraseTrie:
 
 
 def _longer(trie):
-    """Candidates one word longer than the phrases of the trie."""
+    """Slots of candidates one word longer than the phrases of the trie: a number travels, not the words."""
+
+    def rows(held: _Counts) -> Iterator[pa.RecordBatch]:
+        return _in_parts(pa.RecordBatch.from_arrays([pa.array(x) for x in held.taken()], ["slot", "n"]))
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Counts()
         for words in (w for batch in batches for w in _windows(batch, trie.value.length + 1)):
             if held.add(*trie.value.counted(words)):
-                slots, counts = held.taken()
-                yield _phrase_rows(trie.value.candidates(slots), counts)
-        slots, counts = held.taken()
-        if len(slots):
-            yield _phrase_rows(trie.value.candidates(slots), counts)
+                yield from rows(held)
+        yield from rows(held)
 
     return longer
 
 
+def _worded(trie):
+    """The words of slots."""
+
+    def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _phrase_rows(trie.value.candidates(batch.column("slot").to_numpy()), batch.column("n").to_numpy())
+
+    return worded
+
+
 def _tries(phrases: DataFrame, length: int, most: int) -> Iterator[PhraseTrie]:
     """Tries of the phrases, each of ``most`` phrases or so, which pass the driver one after the other."""
     tries = -(-2 * phrases.count() // most)
@@ -392,26 +413,22 @@ def frequent_phrases(
     context = texts.sparkSession.sparkContext
     schema = "words array<bigint>, n bigint"
 
-    def level(parts: list[DataFrame]) -> DataFrame:
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
-        summed = every.groupBy("words").agg(F.sum("n").alias("n")).filter(F.col("n") >= options.least_count)
-        return written(summed, "frequent-phrases")
+    def frequent(counts: DataFrame, key: str) -> DataFrame:
+        return counts.groupBy(key).agg(F.sum("n").alias("n")).filter(F.col("n") >= options.least_count)
 
     pairs = texts.mapInArrow(_pairs(context.broadcast(_word_filter(frequent_words))), schema)
-    levels = [level([pairs])]
+    levels = [written(frequent(pairs, "words"), "frequent-phrases")]
     for length in range(2, options.longest):
-        # One trie at a time is in memory; its counts are written before the next is built.
+        # One trie at a time is in memory; its frequent candidates, which no other trie has, are written before the next is built.
         parts = []
         for trie in _tries(levels[-1], length, trie_phrases):
             shared = context.broadcast(trie)
-            counted = texts.mapInArrow(_longer(shared), schema).groupBy("words").agg(F.sum("n").alias("n"))
-            parts.append(written(counted, "phrase-counts"))
+            slots = frequent(texts.mapInArrow(_longer(shared), "slot bigint, n bigint"), "slot")
+            parts.append(written(slots.mapInArrow(_worded(shared), schema), "frequent-phrases"))
             shared.destroy()
         if not parts:
             break
-        levels.append(level(parts))
+        levels.append(reduce(DataFrame.unionByName, parts))
     return levels
 
 
@@ -482,10 +499,11 @@ def collocations(
     rows = docs.select(
         F.coalesce(F.col(lang_column), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_column), F.lit("")).alias("text")
     )
-    texts, words = _numbered_words(rows, options.least_count)
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = written(words.filter(F.col("n") >= options.least_count), "frequent-words")
-    levels = frequent_phrases(texts, frequent, options, trie_phrases)
+    with set_to(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_AT_ONCE), shuffles_dropped(spark):
+        texts, words = _numbered_words(rows, options.least_count)
+        totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+        frequent = written(words.filter(F.col("n") >= options.least_count), "frequent-words")
+        levels = frequent_phrases(texts, frequent, options, trie_phrases)
     phrases = levels[0]
     for more in levels[1:]:
         phrases = phrases.unionByName(more)

@@ -191,6 +191,24 @@ def test_collocations_against_brute_force(spark, options, trie_phrases, monkeypa
     assert sorted(tuple(r) for r in found.collect()) == sorted(phrases_by_hand(docs, options))
 
 
+def test_longer_phrases_travel_as_slots_and_only_frequent_ones_are_written(spark, monkeypatch):
+    real, counted = col.written, []
+
+    def written(df, name, *rest):
+        table = real(df, name, *rest)
+        if df.columns == ["words", "n"]:
+            counted.extend((len(r.words), r.n) for r in table.collect())
+        return table
+
+    monkeypatch.setattr(col, "written", written)
+    options = col.PhraseOptions(least_count=6)
+    df = spark.createDataFrame(random_texts(6, 300), "lang string, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert col.collocations(df, options, trie_phrases=50).count()
+    assert {length for length, _ in counted} >= {2, 3} and min(n for _, n in counted) >= 6
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_collocations_of_nothing(spark):
     docs = spark.createDataFrame([("en", "one two"), (None, None)], "lang string, text string")
     for df in (docs, docs.limit(0)):
