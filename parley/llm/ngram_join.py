@@ -3,7 +3,9 @@
 Documents with equal shingle sets are one node. Similar nodes are put into groups of bounded size, the
 matrix holds the union of each group's shingles, and a query opens a group only if its overlap with that union
 leaves room for the wanted similarity; the members are then compared exactly. Which groups a query may meet at all
-follows from keys that similar sets are bound to share (``shingles.shared_keys``).
+follows from keys that similar sets are bound to share (``shingles.shared_keys``). Groups are first compared by parities
+(``shingles.parities``), which take a thirtieth of the room of a set or less and bound from below in how many shingles two sets
+differ; whole sets travel only for queries and members that may be similar.
 
 Links matter up to components. First the smallest node of a key's nodes queries the groups
 of the others, which is linear in the nodes, however alike they are. Then only nodes outside the
@@ -24,8 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.shingles import shared_keys, shingle_set
+from parley.llm.shingles import folded, parities, shared_keys, shingle_set
 from parley.llm.wordtokens import text_groups
+from parley.operators.bits import maybe_among
 from parley.operators.components import connected_components
 from parley.operators.skew import salted_join
 from parley.plans.shipping import ship_package
@@ -33,6 +36,7 @@ from parley.plans.storage import dropped, shared_dir, shuffles_dropped, written,
 
 GROUP = 128  # members of a group of the matrix
 QUERIES = 1024  # queries that a group takes at once
+BLOCK = 1 << 18  # words of parities that NumPy compares in one step
 LONGS = pa.list_(pa.int64())
 
 
@@ -77,16 +81,77 @@ def _sets(size: int):
         for batch in batches:
             for first, texts in text_groups(batch, "text"):
                 found = [shingle_set(text, size) for text in texts]
-                columns = [
-                    batch.column("id").slice(first, len(texts)),
-                    pa.array([_name(s) for s in found], pa.int64()),
-                    pa.array([s.tobytes() for s in found], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["_at", "_node", "shingles"])
+                columns = [pa.array([_name(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "shingles"])
 
     return sets
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and parities of every set."""
+    for batch in batches:
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("shingles").to_pylist()]
+        columns = [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s).tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "size", "parities"])
+
+
+def _by_length(group: pa.Table, wanted: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, sizes, components and parities of the wanted rows whose parities are equally long."""
+    bits, sizes, homes = group.column("parities").to_pylist(), group.column("size").to_numpy(), group.column("component").to_numpy()
+    lengths = np.array([len(x) for x in bits], dtype=np.int64)
+    found = []
+    for length in np.unique(lengths[wanted]).tolist():
+        at = np.flatnonzero(wanted & (lengths == length))
+        matrix = np.frombuffer(b"".join(bits[k] for k in at.tolist()), dtype=np.uint64).reshape(len(at), -1)
+        found.append((at, sizes[at], homes[at], matrix))
+    return found
+
+
+def _close(group: pa.Table, threshold: Fraction) -> np.ndarray:
+    """Places of the group's queries and members that may be similar to one of another component."""
+    p, q = threshold.numerator, threshold.denominator
+    query = group.column("query").to_numpy()
+    members = _by_length(group, ~query)
+    found = [np.zeros(0, dtype=np.int64)]
+    for at, sizes, homes, asked in _by_length(group, query):
+        for places, their_sizes, their_homes, held in members:
+            # |A ^ B| is (q - p) / (q + p) of |A| + |B| at most, and no less than the parities or the sizes that differ.
+            room = (q - p) * (sizes[:, None] + their_sizes)
+            fits = ((p + q) * np.abs(sizes[:, None] - their_sizes) <= room) & (homes[:, None] != their_homes)
+            some, others = np.flatnonzero(fits.any(axis=1)), np.flatnonzero(fits.any(axis=0))
+            words = min(asked.shape[1], held.shape[1])
+            theirs = folded(held[others], words)
+            step = max(1, BLOCK // max(1, len(others) * words))
+            for k in range(0, len(some), step):
+                part = some[k : k + step]
+                differing = np.bitwise_count(folded(asked[part], words)[:, None] ^ theirs).sum(axis=2, dtype=np.int64)
+                near = fits[np.ix_(part, others)] & ((p + q) * differing <= room[np.ix_(part, others)])
+                found += [at[part[near.any(axis=1)]], places[others[near.any(axis=0)]]]
+    return np.unique(np.concatenate(found))
+
+
+def _possible(threshold: Fraction):
+    """Of rows sorted by group and share, the queries and members that may be similar, without their parities."""
+
+    def kept(rows: pa.Table, starts: list[int]) -> Iterator[pa.RecordBatch]:
+        at = [a + _close(rows.slice(a, b - a), threshold) for a, b in zip(starts, starts[1:])]
+        if at:
+            yield from rows.drop_columns(["size", "parities"]).take(pa.array(np.concatenate(at))).to_batches()
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []  # the last group may go on in the next batch
+        for batch in batches:
+            rows = pa.concat_tables([*held, pa.Table.from_batches([batch])])
+            group, share = rows.column("group").to_numpy(), rows.column("share").to_numpy()
+            starts = [0, *(1 + np.flatnonzero((np.diff(group) != 0) | (np.diff(share) != 0))).tolist()]
+            yield from kept(rows, starts)
+            held = [rows.slice(starts[-1])]
+        for rows in held:
+            yield from kept(rows, [0, rows.num_rows])
+
+    return possible
+
+
 def _open_groups(threshold: Fraction):
     p, q = threshold.numerator, threshold.denominator
 
@@ -131,10 +196,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _links(requests: DataFrame, members: DataFrame, sets: DataFrame, threshold: Fraction, shares: bool) -> DataFrame:
+def _links(
+    requests: DataFrame, members: DataFrame, sets: DataFrame, outlines: DataFrame, threshold: Fraction, shares: bool
+) -> DataFrame:
     """Links ``(a, b)`` between the components of the queries of ``requests`` and of the ``members``.
 
-    Both are ``(group, node, component)``. With ``shares`` a group with many queries is opened in several tasks, each with
+    ``outlines`` are the sizes and parities of ``sets``. Both requests and members are ``(group, node, component)``. With ``shares`` a group with many queries is opened in several tasks, each with
     a share of them; without, every group has few.
     """
     left, right = requests.withColumn("share", F.lit(0)), members.withColumn("share", F.lit(0))
@@ -145,8 +212,11 @@ def _links(requests: DataFrame, members: DataFrame, sets: DataFrame, threshold:
         left = left.withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")).drop("shares")
         right = members.join(counts, "group").withColumn("share", F.explode(F.sequence(F.lit(0), number - 1))).drop("n")
     both = left.withColumn("query", F.lit(True)).unionByName(right.withColumn("query", F.lit(False)))
-    # A query may ask many groups: its set is looked up once for both sides.
-    both = both.join(sets, "node")
+    # A query may ask many groups: its parities, and then its set, are looked up once for both sides.
+    outlined = both.join(outlines, "node").select("group", "share", "node", "component", "query", "size", "parities")
+    outlined = outlined.repartition("group", "share").sortWithinPartitions("group", "share")
+    schema = "group bigint, share int, node bigint, component bigint, query boolean"
+    both = outlined.mapInArrow(_possible(threshold), schema).join(sets, "node")
     return both.groupBy("group", "share").applyInArrow(_open_groups(threshold), "a bigint, b bigint")
 
 
@@ -174,7 +244,8 @@ def _key_nodes(spread: DataFrame) -> DataFrame:
     """``(key, node, lead)`` of the keys that several nodes have; the lead is the smallest of them."""
     shared = spread.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("_last"), F.count("*").alias("n"))
     shared = written(shared.filter("lead < _last").select("key", "lead", "n"), "shared-keys")
-    met = salted_join(spread, shared.select("key", "lead"), "key", shared)
+    several = maybe_among(spread, "key", shared, shared.count())
+    met = salted_join(several, shared.select("key", "lead"), "key", shared)
     return written(met.groupBy("key", "node").agg(F.any_value("lead").alias("lead")), "key-nodes")
 
 
@@ -182,12 +253,13 @@ def _key_components(spread: list[DataFrame], sets_of: Callable[[DataFrame], Data
     portions = len(spread)
     met = _union([_key_nodes(part) for part in spread])
     sets = sets_of(met.select("node").distinct())
+    outlines = written(sets.mapInArrow(_parities, "node bigint, size bigint, parities binary"), "set-outlines")
 
     followers = met.filter("node <> lead").select("lead", "node").distinct()
     groups = written(_grouped(followers, "lead"), "groups")
     own = F.col("node").alias("component")  # so far every node is a component of its own
     requests = groups.select("group", F.col("lead").alias("node")).distinct()
-    links = _linked(requests.select("*", own), groups.select("group", "node", own), portions, sets, threshold, False)
+    links = _linked(requests.select("*", own), groups.select("group", "node", own), portions, sets, outlines, threshold, False)
     components = written(connected_components(links), "components")
 
     named = met.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -206,7 +278,7 @@ def _key_components(spread: list[DataFrame], sets_of: Callable[[DataFrame], Data
     asked = outside.join(key_homes, "key").select("home", "node", "component").distinct()
     requests = asked.join(members.select("home", "group").distinct(), "home").select("group", "node", "component")
     requests = written(requests, "requests") if portions > 1 else requests
-    more = _linked(requests, members.select("group", "node", "component"), portions, sets, threshold, True).distinct()
+    more = _linked(requests, members.select("group", "node", "component"), portions, sets, outlines, threshold, True).distinct()
     more = written(more, "links")
     return components if more.isEmpty() else _merged(components, more)
 
@@ -232,6 +304,7 @@ def ngram_components(
     empty texts have none and link with nothing, so each is its own component. Repeated rows are equal
     documents; a null id is never the smallest unless a component has no other. Other columns are not read.
     Keys, sets and groups are dealt to so many ``portions`` that follow each other: more of them need less disk and more jobs.
+    Bit tables of the shared keys and of the wanted texts' ids keep other keys and texts from being moved.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -248,21 +321,17 @@ def ngram_components(
         dropped(spark, keyed)  # its shared keys are in tables of their own
         first = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("_id"))
         first = written(first, "first-ids")
-        return sets_in_portions(first) if portions > 1 else written(found_sets(rows, first), "shingle-sets")
-
-    def found_sets(rows: DataFrame, first: DataFrame) -> DataFrame:
-        texts = rows.join(first.select("_id").distinct(), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
-        found = texts.mapInArrow(_sets(shingle), "_at bigint, _node bigint, shingles binary")
-        # Rows with one id may be of several nodes: each node is taken where its own smallest id is.
-        found = found.join(first, (F.col("_node") == F.col("node")) & F.col("_at").eqNullSafe(F.col("_id")))
-        return found.groupBy("node").agg(F.any_value("shingles").alias("shingles"))
-
-    def sets_in_portions(first: DataFrame) -> DataFrame:
-        of = lambda rows, column, k: rows.filter(F.pmod(F.xxhash64(column), F.lit(portions)) == k)
+        of = lambda rows, column, k: rows.filter(F.pmod(F.xxhash64(column), F.lit(portions)) == k) if portions > 1 else rows
         parts = (found_sets(of(rows, "id", k), of(first, "_id", k)) for k in range(portions))
         sets.append(written_in_buckets(parts, "node", "shingle-sets"))
         return sets[-1]
 
+    def found_sets(rows: DataFrame, first: DataFrame) -> DataFrame:
+        """The wanted sets, and the few others whose ids pass for wanted ones: nothing asks for those."""
+        texts = maybe_among(rows, "id", first.select(F.col("_id").alias("id")), first.count(), bits=64)
+        found = texts.mapInArrow(_sets(shingle), "node bigint, shingles binary").filter("node is not null")
+        return found.groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+
     spread = [keyed.filter("node is not null").select("node", F.explode(k).alias("key")) for k in keys]
     sets: list[DataFrame] = []
     components = key_components(spread, sets_of, threshold)

@@ -12,6 +12,7 @@ import xxhash
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _DEEPEST = 12
+_MOST_PARITIES = 1 << 15
 _LARGEST = 1 << 40
 
 
@@ -45,6 +46,26 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(h, min(size, len(h))))
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of elements falls on each of the cells, in words of 64 bits; at most two cells an element.
+
+    Each element in only one of two sets changes one parity, so two sets differ in as many elements as parities at least.
+    """
+    cells = 64
+    while cells < min(len(s), _MOST_PARITIES):
+        cells *= 2
+    place = (mix(s + _B) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=cells) & 1).astype(bool), bitorder="little").view(np.uint64)
+
+
+def folded(rows: np.ndarray, words: int) -> np.ndarray:
+    """Rows of parities as they are for so many words of cells: the upper half falls on the lower."""
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
 def most_differing(largest: int, threshold: Fraction) -> int:
     """How many elements can be in only one of two sets of at most ``largest`` with this similarity."""
     return int(2 * largest * (1 - threshold) / (1 + threshold))
