@@ -7,6 +7,9 @@ depth; where a phrase ends in an accepting state and so does the one that begins
 candidate, both of whose parts are frequent. Every such candidate has a slot of its own, numbered from the trie, so that
 candidates need not be listed; the slots are counted in every chunk and the counts are summed by Spark.
 
+Counts travel in blocks: what a task has counted for a part of the candidates is one row, in which each word stands once and the rest
+are small numbers, compressed.
+
 What is broadcast is bounded: the bit table by its size, a trie by ``TRIE_PHRASES``. More phrases make more tries, split by a
 hash of the words that the two parts of a candidate share, so that each candidate belongs to one trie.
 """
@@ -23,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.llm.shingles import mix
 from parley.operators.skew import salted_join
 from parley.plans.shipping import ship_package
 from parley.plans.storage import set_to, shared_dir, shuffles_dropped, written
@@ -35,6 +39,8 @@ WINDOW = 1 << 19  # words that NumPy looks at in one step
 HELD_COUNTS = 1 << 20  # counts that a task holds before it sends them on
 TEXTS_AT_ONCE = 2000  # rows of a batch that a worker gets
 SENT_AT_ONCE = 1 << 16  # rows of a batch that a worker sends
+PART_WORDS = 1 << 22  # occurrences of words for which a part of the counts is made at least
+SPREAD = 4  # parts over which the pairs that begin with a word are dealt
 END, TEXT_END = b".", b"!"
 #: Capitals become small, marks and line ends become the end of a piece, a tab becomes a space; other bytes stay.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\x0b\f\r" else 32 if c == 9 else c for c in range(256))
@@ -197,11 +203,6 @@ class _Counts:
         return keys, counts
 
 
-def _in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for k in range(0, batch.num_rows, SENT_AT_ONCE):
-        yield batch.slice(k, SENT_AT_ONCE)
-
-
 def _phrase_rows(phrases: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     """``(words, n)`` from a table with a row of word hashes for each phrase."""
     ends = np.arange(0, phrases.size + 1, phrases.shape[1], dtype=np.int32)
@@ -220,21 +221,90 @@ def _word_filter(frequent: DataFrame) -> np.ndarray:
     return np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool)
 
 
-def _pairs(frequent):
-    """Adjacent words that both pass the filter."""
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes as the largest needs, those of equal weight together, compressed."""
+    most = int(numbers.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    planes = numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return np.array([len(numbers), width], dtype="<i8").tobytes() + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(block: bytes) -> np.ndarray:
+    n, width = np.frombuffer(block, dtype="<i8", count=2).tolist()
+    planes = pa.decompress(block[16:], n * width, "zstd", asbytes=True)
+    return np.frombuffer(planes, dtype=np.uint8).reshape(width, n).T.copy().view(f"<u{width}").ravel().astype(np.int64)
+
+
+def _merged(first: np.ndarray, second: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, in order, with the sum of its counts."""
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    starts = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])) if len(first) else order
+    return first[starts], second[starts], np.add.reduceat(counts[order], starts) if len(starts) else counts
+
+
+PAIR_BLOCK = "part int, heads binary, runs binary, tails binary, places binary, counts binary"
+
+
+def _pair_blocks(first: np.ndarray, second: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row for each part of merged pairs: first words, how many pairs each begins, second words, their places and counts."""
+    name = mix(first.view(np.uint64) + (mix(second.view(np.uint64)) & np.uint64(SPREAD - 1)))
+    part = (name % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    rows = []
+    for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(first[some]) != 0]))
+        tails, places = np.unique(second[some], return_inverse=True)
+        runs = np.diff(np.concatenate([starts, [len(some)]]))
+        heads = first[some[starts]].tobytes()
+        rows.append((int(part[some[0]]), heads, _packed(runs), tails.tobytes(), _packed(places), _packed(counts[some])))
+    kinds = [pa.int32()] + [pa.binary()] * 5
+    names = [c.split()[0] for c in PAIR_BLOCK.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+
+
+def _pairs(frequent, parts: int):
+    """Adjacent words that both pass the filter, in blocks."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for words in (w for batch in batches for w in _windows(batch, 2)):
             good = frequent.value[words & ((1 << FILTER_BITS) - 1)] & (words != 0)
             at = np.flatnonzero(good[:-1] & good[1:])
             known, places = np.unique(words[np.concatenate([at, at + 1])], return_inverse=True)
             keys, counts = np.unique(places[: len(at)] * len(known) + places[len(at) :], return_counts=True)
             if len(keys):
-                yield from _in_parts(_phrase_rows(np.stack([known[keys // len(known)], known[keys % len(known)]], axis=1), counts))
+                held.append((known[keys // len(known)], known[keys % len(known)], counts))
+                size += len(keys)
+            if size > HELD_COUNTS:
+                held = [_merged(*map(np.concatenate, zip(*held)))]
+                size = len(held[0][0])
+                if size > HELD_COUNTS // 2:
+                    yield _pair_blocks(*held[0], parts)
+                    held, size = [], 0
+        if held:
+            yield _pair_blocks(*_merged(*map(np.concatenate, zip(*held))), parts)
 
     return pairs
 
 
+def _frequent_pairs(least: int):
+    """The frequent pairs of a part, from all its blocks."""
+
+    def frequent(blocks: pa.Table) -> pa.Table:
+        columns = [blocks.column(c).to_pylist() for c in ("heads", "runs", "tails", "places", "counts")]
+        firsts, seconds, counts = [], [], []
+        for heads, runs, tails, places, n in zip(*columns):
+            firsts.append(np.repeat(np.frombuffer(heads, dtype=np.int64), _unpacked(runs)))
+            seconds.append(np.frombuffer(tails, dtype=np.int64)[_unpacked(places)])
+            counts.append(_unpacked(n))
+        first, second, n = _merged(*map(np.concatenate, (firsts, seconds, counts)))
+        often = n >= least
+        return pa.Table.from_batches([_phrase_rows(np.stack([first[often], second[often]], axis=1), n[often])])
+
+    return frequent
+
+
 class PhraseTrie:
     """Double-array trie of phrases of one length, whose words are 64-bit numbers.
 
@@ -364,30 +434,51 @@ class PhraseTrie:
         return np.concatenate([self.phrases[lead], self.phrases[follow][:, -1:]], axis=1)
 
 
-def _longer(trie):
-    """Slots of candidates one word longer than the phrases of the trie: a number travels, not the words."""
+SLOT_BLOCK = "part int, slots binary, counts binary"
+
 
-    def rows(held: _Counts) -> Iterator[pa.RecordBatch]:
-        return _in_parts(pa.RecordBatch.from_arrays([pa.array(x) for x in held.taken()], ["slot", "n"]))
+def _slot_blocks(slots: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row for each part of ascending slots: the steps from one to the next, and the counts."""
+    part = slots % parts
+    order = np.argsort(part, kind="stable")
+    rows = []
+    for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else ():
+        steps = np.diff(slots[some] // parts, prepend=0)
+        rows.append((int(part[some[0]]), _packed(steps), _packed(counts[some])))
+    kinds = [pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else ((), (), ()), kinds)], ["part", "slots", "counts"])
+
+
+def _longer(trie, parts: int):
+    """Slots of candidates one word longer than the phrases of the trie, in blocks: a number travels, not the words."""
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Counts()
         for words in (w for batch in batches for w in _windows(batch, trie.value.length + 1)):
             if held.add(*trie.value.counted(words)):
-                yield from rows(held)
-        yield from rows(held)
+                merged = held.taken()
+                if len(merged[0]) > HELD_COUNTS // 2:
+                    yield _slot_blocks(*merged, parts)
+                else:
+                    held.add(*merged)
+        yield _slot_blocks(*held.taken(), parts)
 
     return longer
 
 
-def _worded(trie):
-    """The words of slots."""
+def _frequent_slots(trie, parts: int, least: int):
+    """The words of the frequent slots of a part, from all its blocks."""
 
-    def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _phrase_rows(trie.value.candidates(batch.column("slot").to_numpy()), batch.column("n").to_numpy())
+    def frequent(blocks: pa.Table) -> pa.Table:
+        part = blocks.column("part")[0].as_py()
+        held = _Counts()
+        for slots, n in zip(blocks.column("slots").to_pylist(), blocks.column("counts").to_pylist()):
+            held.add(np.cumsum(_unpacked(slots)) * parts + part, _unpacked(n))
+        slots, n = held.taken()
+        often = n >= least
+        return pa.Table.from_batches([_phrase_rows(trie.value.candidates(slots[often]), n[often])])
 
-    return worded
+    return frequent
 
 
 def _tries(phrases: DataFrame, length: int, most: int) -> Iterator[PhraseTrie]:
@@ -410,25 +501,25 @@ def frequent_phrases(
     texts: DataFrame, frequent_words: DataFrame, options: PhraseOptions, trie_phrases: int = TRIE_PHRASES
 ) -> list[DataFrame]:
     """``(words, n)`` of the frequent phrases of 2 words, 3 words and so on."""
-    context = texts.sparkSession.sparkContext
-    schema = "words array<bigint>, n bigint"
-
-    def frequent(counts: DataFrame, key: str) -> DataFrame:
-        return counts.groupBy(key).agg(F.sum("n").alias("n")).filter(F.col("n") >= options.least_count)
-
-    pairs = texts.mapInArrow(_pairs(context.broadcast(_word_filter(frequent_words))), schema)
-    levels = [written(frequent(pairs, "words"), "frequent-phrases")]
+    spark, least = texts.sparkSession, options.least_count
+    context, schema = spark.sparkContext, "words array<bigint>, n bigint"
+    # Parts of a bounded size each: an occurrence gives a task one pair and one slot to send at most.
+    occurrences = frequent_words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), occurrences // PART_WORDS)
+
+    blocks = texts.mapInArrow(_pairs(context.broadcast(_word_filter(frequent_words)), parts), PAIR_BLOCK)
+    levels = [written(blocks.groupBy("part").applyInArrow(_frequent_pairs(least), schema), "frequent-phrases")]
     for length in range(2, options.longest):
         # One trie at a time is in memory; its frequent candidates, which no other trie has, are written before the next is built.
-        parts = []
+        found = []
         for trie in _tries(levels[-1], length, trie_phrases):
             shared = context.broadcast(trie)
-            slots = frequent(texts.mapInArrow(_longer(shared), "slot bigint, n bigint"), "slot")
-            parts.append(written(slots.mapInArrow(_worded(shared), schema), "frequent-phrases"))
+            blocks = texts.mapInArrow(_longer(shared, parts), SLOT_BLOCK)
+            found.append(written(blocks.groupBy("part").applyInArrow(_frequent_slots(shared, parts, least), schema), "frequent-phrases"))
             shared.destroy()
-        if not parts:
+        if not found:
             break
-        levels.append(reduce(DataFrame.unionByName, parts))
+        levels.append(reduce(DataFrame.unionByName, found))
     return levels
 
 

@@ -3,9 +3,11 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,3 +245,36 @@ def test_trie_finds_every_phrase(length):
     counted = Counter(g for g in grams if g[:-1] in led and g[1:] in names)
     slots, counts = trie.counted(text)
     assert dict(zip(map(tuple, trie.candidates(slots).tolist()), counts.tolist())) == dict(counted)
+
+
+def test_pairs_and_slots_travel_in_few_blocks(monkeypatch):
+    """However many pairs and slots a task counts, it sends a row for each part, and they add up to the same counts."""
+    rng = np.random.default_rng(4)
+    vocabulary = np.unique(rng.integers(-(1 << 63), 1 << 63, 60, dtype=np.int64))
+    texts = [vocabulary[rng.integers(0, len(vocabulary), n)] for n in (3000, 1, 0, 500)]
+    batches = [pa.RecordBatch.from_pydict({"words": pa.array([t.tolist()], pa.list_(pa.int64()))}) for t in texts]
+    everything = SimpleNamespace(value=np.ones(1 << col.FILTER_BITS, dtype=bool))
+    expected = Counter((int(a), int(b)) for t in texts for a, b in zip(t, t[1:]))
+    for held, most in ((1 << 20, 7), (400, 7 * 40)):
+        monkeypatch.setattr(col, "HELD_COUNTS", held)
+        monkeypatch.setattr(col, "WINDOW", 300)
+        blocks = pa.Table.from_batches(list(col._pairs(everything, 7)(iter(batches))))
+        assert 7 <= blocks.num_rows <= most
+        found = Counter()
+        for part in range(7):
+            rows = col._frequent_pairs(2)(blocks.filter(pc.equal(blocks.column("part"), part))).to_pylist()
+            found.update({tuple(r["words"]): r["n"] for r in rows})
+        assert found == Counter({k: n for k, n in expected.items() if n >= 2})
+
+        phrases = np.array(sorted(found), dtype=np.int64)
+        trie = SimpleNamespace(value=col.PhraseTrie(phrases, np.ones(len(phrases), dtype=bool)))
+        blocks = pa.Table.from_batches(list(col._longer(trie, 7)(iter(batches))))
+        assert 7 <= blocks.num_rows <= most
+        longer = Counter((int(a), int(b), int(c)) for t in texts for a, b, c in zip(t, t[1:], t[2:]))
+        rows = [col._frequent_slots(trie, 7, 2)(blocks.filter(pc.equal(blocks.column("part"), k))).to_pylist() for k in range(7)]
+        assert {tuple(r["words"]): r["n"] for part in rows for r in part} == {k: n for k, n in longer.items() if n >= 2}
+
+
+@pytest.mark.parametrize("numbers", ([], [0], [255, 0], [256, 1], [1 << 40, 3, 65535]))
+def test_packed_numbers_come_back(numbers):
+    assert col._unpacked(col._packed(np.array(numbers, dtype=np.int64))).tolist() == numbers
