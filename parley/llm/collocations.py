@@ -7,10 +7,10 @@ depth; where a phrase ends in an accepting state and so does the one that begins
 candidate, both of whose parts are frequent. Every such candidate has a slot of its own, numbered from the trie, so that
 candidates need not be listed; the slots are counted in every chunk and the counts are summed by Spark.
 
-Counts travel in blocks: what a task has counted for a part of the candidates is one row, in which each word stands once and the rest
-are small numbers, compressed.
+Counts travel in blocks: what a task has counted for a part of the candidates is one row of small numbers, compressed. Common words
+go by a number, the others stand once in a block.
 
-What is broadcast is bounded: the bit table by its size, a trie by ``TRIE_PHRASES``. More phrases make more tries, split by a
+What is broadcast is bounded: the bit table by its size, the common words by ``COMMON_WORDS``, a trie by ``TRIE_PHRASES``. More phrases make more tries, split by a
 hash of the words that the two parts of a candidate share, so that each candidate belongs to one trie.
 """
 
@@ -40,6 +40,7 @@ HELD_COUNTS = 1 << 20  # counts that a task holds before it sends them on
 TEXTS_AT_ONCE = 2000  # rows of a batch that a worker gets
 SENT_AT_ONCE = 1 << 16  # rows of a batch that a worker sends
 PART_WORDS = 1 << 22  # occurrences of words for which a part of the counts is made at least
+COMMON_WORDS = 1 << 20  # words whose numbers all tasks know, 8 MB
 SPREAD = 4  # parts over which the pairs that begin with a word are dealt
 END, TEXT_END = b".", b"!"
 #: Capitals become small, marks and line ends become the end of a piece, a tab becomes a space; other bytes stay.
@@ -243,27 +244,46 @@ def _merged(first: np.ndarray, second: np.ndarray, counts: np.ndarray) -> tuple[
     return first[starts], second[starts], np.add.reduceat(counts[order], starts) if len(starts) else counts
 
 
-PAIR_BLOCK = "part int, heads binary, runs binary, tails binary, places binary, counts binary"
+PAIR_BLOCK = "part int, words binary, heads binary, runs binary, tails binary, counts binary"
 
 
-def _pair_blocks(first: np.ndarray, second: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
-    """A row for each part of merged pairs: first words, how many pairs each begins, second words, their places and counts."""
+def _places(words: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Places of words among the common ones, which ascend; -1 for others."""
+    at = np.searchsorted(common, words)
+    return np.where(np.append(common, 0)[at] == words, at, -1) if len(common) else np.full(len(words), -1)
+
+
+def _pair_blocks(first: np.ndarray, second: np.ndarray, counts: np.ndarray, common: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row for each part of merged pairs: the places of first words, how many pairs each begins, the places of second ones, counts.
+
+    Places go on from the common words to those of the block's own.
+    """
     name = mix(first.view(np.uint64) + (mix(second.view(np.uint64)) & np.uint64(SPREAD - 1)))
     part = (name % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
+    first, second, counts = first[order], second[order], counts[order]
+    heads, tails = _places(first, common), _places(second, common)
+    ends = [0, *(1 + np.flatnonzero(np.diff(part[order]))).tolist(), len(order)]
     rows = []
-    for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(first[some]) != 0]))
-        tails, places = np.unique(second[some], return_inverse=True)
-        runs = np.diff(np.concatenate([starts, [len(some)]]))
-        heads = first[some[starts]].tobytes()
-        rows.append((int(part[some[0]]), heads, _packed(runs), tails.tobytes(), _packed(places), _packed(counts[some])))
+    for some in map(slice, ends, ends[1:]):
+        at = np.stack([heads[some], tails[some]])
+        own, inverse = np.unique(np.stack([first[some], second[some]])[at < 0], return_inverse=True)
+        at[at < 0] = len(common) + inverse
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(at[0]) != 0]))
+        runs = np.diff(np.concatenate([starts, [at.shape[1]]]))
+        rows.append((int(part[order[some.start]]), own.tobytes(), *map(_packed, (at[0][starts], runs, at[1], counts[some]))))
     kinds = [pa.int32()] + [pa.binary()] * 5
     names = [c.split()[0] for c in PAIR_BLOCK.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
 
-def _pairs(frequent, parts: int):
+def _common_words(frequent: DataFrame) -> np.ndarray:
+    """The hashes of the most frequent words, ascending: they have numbers that all tasks know."""
+    found = frequent.orderBy(F.desc("n"), "hash").limit(COMMON_WORDS).select("hash").toArrow()
+    return np.sort(found.column("hash").to_numpy())
+
+
+def _pairs(frequent, common, parts: int):
     """Adjacent words that both pass the filter, in blocks."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,23 +300,31 @@ def _pairs(frequent, parts: int):
                 held = [_merged(*map(np.concatenate, zip(*held)))]
                 size = len(held[0][0])
                 if size > HELD_COUNTS // 2:
-                    yield _pair_blocks(*held[0], parts)
+                    yield _pair_blocks(*held[0], common.value, parts)
                     held, size = [], 0
         if held:
-            yield _pair_blocks(*_merged(*map(np.concatenate, zip(*held))), parts)
+            yield _pair_blocks(*_merged(*map(np.concatenate, zip(*held))), common.value, parts)
 
     return pairs
 
 
-def _frequent_pairs(least: int):
+def _frequent_pairs(common, least: int):
     """The frequent pairs of a part, from all its blocks."""
 
     def frequent(blocks: pa.Table) -> pa.Table:
-        columns = [blocks.column(c).to_pylist() for c in ("heads", "runs", "tails", "places", "counts")]
+        known = len(common.value)
+
+        def words(places: np.ndarray, own: np.ndarray) -> np.ndarray:
+            found = np.empty(len(places), dtype=np.int64)
+            shared = places < known
+            found[shared], found[~shared] = common.value[places[shared]], own[places[~shared] - known]
+            return found
+
         firsts, seconds, counts = [], [], []
-        for heads, runs, tails, places, n in zip(*columns):
-            firsts.append(np.repeat(np.frombuffer(heads, dtype=np.int64), _unpacked(runs)))
-            seconds.append(np.frombuffer(tails, dtype=np.int64)[_unpacked(places)])
+        for own, heads, runs, tails, n in zip(*(blocks.column(c).to_pylist() for c in ("words", "heads", "runs", "tails", "counts"))):
+            own = np.frombuffer(own, dtype=np.int64)
+            firsts.append(np.repeat(words(_unpacked(heads), own), _unpacked(runs)))
+            seconds.append(words(_unpacked(tails), own))
             counts.append(_unpacked(n))
         first, second, n = _merged(*map(np.concatenate, (firsts, seconds, counts)))
         often = n >= least
@@ -507,8 +535,9 @@ def frequent_phrases(
     occurrences = frequent_words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), occurrences // PART_WORDS)
 
-    blocks = texts.mapInArrow(_pairs(context.broadcast(_word_filter(frequent_words)), parts), PAIR_BLOCK)
-    levels = [written(blocks.groupBy("part").applyInArrow(_frequent_pairs(least), schema), "frequent-phrases")]
+    common = context.broadcast(_common_words(frequent_words))
+    blocks = texts.mapInArrow(_pairs(context.broadcast(_word_filter(frequent_words)), common, parts), PAIR_BLOCK)
+    levels = [written(blocks.groupBy("part").applyInArrow(_frequent_pairs(common, least), schema), "frequent-phrases")]
     for length in range(2, options.longest):
         # One trie at a time is in memory; its frequent candidates, which no other trie has, are written before the next is built.
         found = []

@@ -255,14 +255,15 @@ def test_pairs_and_slots_travel_in_few_blocks(monkeypatch):
     batches = [pa.RecordBatch.from_pydict({"words": pa.array([t.tolist()], pa.list_(pa.int64()))}) for t in texts]
     everything = SimpleNamespace(value=np.ones(1 << col.FILTER_BITS, dtype=bool))
     expected = Counter((int(a), int(b)) for t in texts for a, b in zip(t, t[1:]))
-    for held, most in ((1 << 20, 7), (400, 7 * 40)):
+    for held, most, n_common in ((1 << 20, 7, 0), (400, 7 * 40, 30), (1 << 20, 7, 60)):
+        common = SimpleNamespace(value=vocabulary[:n_common])
         monkeypatch.setattr(col, "HELD_COUNTS", held)
         monkeypatch.setattr(col, "WINDOW", 300)
-        blocks = pa.Table.from_batches(list(col._pairs(everything, 7)(iter(batches))))
+        blocks = pa.Table.from_batches(list(col._pairs(everything, common, 7)(iter(batches))))
         assert 7 <= blocks.num_rows <= most
         found = Counter()
         for part in range(7):
-            rows = col._frequent_pairs(2)(blocks.filter(pc.equal(blocks.column("part"), part))).to_pylist()
+            rows = col._frequent_pairs(common, 2)(blocks.filter(pc.equal(blocks.column("part"), part))).to_pylist()
             found.update({tuple(r["words"]): r["n"] for r in rows})
         assert found == Counter({k: n for k, n in expected.items() if n >= 2})
 
