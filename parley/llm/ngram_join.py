@@ -32,10 +32,11 @@ from parley.operators.bits import maybe_among
 from parley.operators.components import connected_components
 from parley.operators.skew import salted_join
 from parley.plans.shipping import ship_package
-from parley.plans.storage import dropped, shared_dir, shuffles_dropped, written, written_in_buckets
+from parley.plans.storage import dropped, set_to, shared_dir, shuffles_dropped, written, written_in_buckets
 
 GROUP = 128  # members of a group of the matrix
 QUERIES = 1024  # queries that a group takes at once
+ROWS_AT_ONCE = 1000  # rows of a batch that a worker gets: its texts or sets are in memory together
 BLOCK = 1 << 18  # words of parities that NumPy compares in one step
 LONGS = pa.list_(pa.int64())
 
@@ -236,7 +237,8 @@ def key_components(spread: list[DataFrame], sets_of: Callable[[DataFrame], DataF
     other, and the links in as many portions, so that less is on disk at once. When ``sets_of`` is asked for ``(node, shingles)``
     of wanted nodes, ``spread`` is no longer read. It may give a table whose buckets are by node, which then need not move.
     """
-    with shuffles_dropped(spread[0].sparkSession):
+    spark = spread[0].sparkSession
+    with shuffles_dropped(spark), set_to(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE):
         return _key_components(spread, sets_of, threshold)
 
 
@@ -312,7 +314,8 @@ def ngram_components(
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
     keys = [f"keys{k}" for k in range(portions)]
     schema = ", ".join(["id bigint, n_shingles bigint, node bigint", *[f"{k} array<bigint>" for k in keys]])
-    keyed = written(rows.mapInArrow(_sketches(shingle, threshold, portions), schema), "shingle-keys")
+    with set_to(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE):
+        keyed = written(rows.mapInArrow(_sketches(shingle, threshold, portions), schema), "shingle-keys")
     sketches = written(keyed.drop(*keys), "shingle-sketches")
     nodes = sketches.filter("node is not null")
 
